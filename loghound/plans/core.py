@@ -25,6 +25,7 @@ from ..operators.patterns import (COMPLEX_SHELL_REASON, SHELL_SIGNATURES, SQL_SI
 from ..operators.rows import (BRUTE_FORCE_REASON, DISTRIBUTED_REASON, ERROR_PHRASES, ERROR_PHRASES_LEGACY,
                               error_phrase_index, row_detectors)
 from ..operators.signatures import core_signature_hits
+from .materialize import materialize
 
 # --- fixed values: reasons that replace an earlier verdict reason ---
 SEVERE_MARKS = ["高リスク", "SQLインジェクション", "複合シェルインジェクション攻撃"]
@@ -135,10 +136,18 @@ def _auth(auth: DataFrame) -> DataFrame:
     return base.drop("n").unionByName(fired.drop("n"))
 
 
-def detections(parsed: DataFrame, legacy_order: bool = False) -> DataFrame:
-    """Every detection of profile core, one row each."""
+def detections(parsed: DataFrame, legacy_order: bool = False, cut_lineage: bool = True) -> DataFrame:
+    """Every detection of profile core, one row each.
+
+    The per-line detections (signature matching is the CPU-heavy part) are
+    computed in one pass; with ``cut_lineage`` they are written once to the
+    checkpoint folder, so the traversal / authentication / distributed
+    branches read the (small) hit table instead of re-matching every line.
+    """
     req = requests_only(parsed)
     lines = line_detections(req, legacy_order)
+    if cut_lineage:
+        lines = materialize(lines, "line-detections")
     plain = lines.filter(F.col("kind") == "plain").drop("kind")
     trv = _traversal(lines.filter(F.col("kind") == "trv").drop("kind"))
     auth = _auth(lines.filter(F.col("kind") == "auth").drop("kind"))

@@ -73,8 +73,14 @@ def q_client_errors(spark, sf_dir):
     return e.select("ip", *_big("ts_s", "ord", "status", "count"), "reason")
 
 
+_DETS: dict = {}
+
+
 def _dets(spark, sf_dir):
-    return core.detections(parsed(spark, sf_dir))
+    key = (id(spark), sf_dir)
+    if key not in _DETS:
+        _DETS[key] = core.detections(parsed(spark, sf_dir))
+    return _DETS[key]
 
 
 def q_sql_injection(spark, sf_dir):

@@ -83,6 +83,12 @@ def weblog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured request records (one per event), the ground truth the
     rendered lines encode."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    # a small table is one split; spread it over the cores (round robin) so
+    # parsing and matching run in parallel.  Large inputs already arrive in
+    # many splits and keep their layout (no extra shuffle).
+    cores = spark.sparkContext.defaultParallelism
+    if ev.rdd.getNumPartitions() < cores:
+        ev = ev.repartition(cores * 2)
     eid = F.col("event_id")
     uid = F.col("user_id")
     kind = (F.when(F.col("event_type") == "error", F.lit("error_log"))
