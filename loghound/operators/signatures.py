@@ -132,3 +132,51 @@ def shell_profile_hits(requests: DataFrame, detailed: bool) -> DataFrame:
     return (df.withColumn("sql_rx", F.exists("_levels", lambda x: x.rlike(sql_rx)))
             .withColumn("trv_rx", F.exists("_levels", lambda x: x.rlike(trv_rx)))
             .drop("_levels"))
+
+
+def _cnf_col(text: Column, clauses, unless=()) -> Column:
+    cond = None
+    for alts in clauses:
+        any_of = None
+        for t in alts:
+            c = text.contains(t)
+            any_of = c if any_of is None else (any_of | c)
+        cond = any_of if cond is None else (cond & any_of)
+    for u in unless:
+        cond = cond & ~text.contains(u)
+    return cond
+
+
+def core_signature_hits_compiled(requests: DataFrame) -> DataFrame:
+    """Same result as :func:`core_signature_hits`, with every signature
+    compiled to ``contains`` predicates (whole-stage codegen instead of
+    interpreted lambdas).  The levels are projected first so the predicates
+    reference plain columns."""
+    df = with_levels(requests)
+    is_err = F.col("log_type").isin("error_log", "nginx_error_log")
+    sql_first, shell_hits, shell_high, trv_first = [], [], [], []
+    high_idx = {i for i, s in enumerate(SHELL_SIGNATURES) if s[4]}
+    for lvl in (0, 1):
+        raw = F.col(f"_l{lvl}")
+        low = F.col(f"_lo{lvl}")
+        guarded = is_err & _any_in(raw, GUARD_WORDS)
+        ok_sql = ~guarded & (F.octet_length(raw) >= SQL_MIN_LENGTH)
+        ok_shell = ~guarded & (F.octet_length(raw) >= SHELL_MIN_LENGTH)
+        page_only = _any_in(raw, PAGE_SUFFIXES) & ~_any_in(raw, PAGE_SQL_WORDS)
+        sql_terms = []
+        for i, s in enumerate(SQL_SIGNATURES):
+            pred = _cnf_col(low, s[2], s[3])
+            if s[0] == "SQL-004":
+                pred = pred & ~page_only
+            sql_terms.append(F.when(pred, F.lit(i)))
+        sql_first.append(F.when(ok_sql, F.coalesce(*sql_terms)))
+        terms = [F.when(_cnf_col(low, s[2]), F.lit(lvl * 1000 + i)) for i, s in enumerate(SHELL_SIGNATURES)]
+        shell_hits.append(F.when(ok_shell, F.array_compact(F.array(*terms))).otherwise(F.array().cast("array<int>")))
+        trv_first.append(F.coalesce(*[F.when(low.contains(s[2]), F.lit(i)) for i, s in enumerate(TRAVERSAL_SIGNATURES)]))
+    hits = df.select("*", F.coalesce(*sql_first).alias("sql_hit"),
+                     F.concat(*shell_hits).alias("shell_hits"),
+                     F.coalesce(*trv_first).alias("trv_hit"))
+    high_arr = F.array(*[F.lit(i) for i in sorted(high_idx)])
+    return hits.withColumn(
+        "shell_high", F.size(F.filter("shell_hits", lambda h: F.array_contains(high_arr, h % 1000)))
+    ).drop("_l0", "_l1", "_lo0", "_lo1")

@@ -24,7 +24,7 @@ from ..operators.patterns import (COMPLEX_SHELL_REASON, SHELL_SIGNATURES, SQL_SI
                                   TRAVERSAL_SIGNATURES, shell_reason, sql_reason)
 from ..operators.rows import (BRUTE_FORCE_REASON, DISTRIBUTED_REASON, ERROR_PHRASES, ERROR_PHRASES_LEGACY,
                               error_phrase_index, row_detectors)
-from ..operators.signatures import core_signature_hits
+from ..operators.signatures import core_signature_hits_compiled as core_signature_hits
 from .materialize import materialize
 
 # --- fixed values: reasons that replace an earlier verdict reason ---

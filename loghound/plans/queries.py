@@ -16,6 +16,7 @@ from ..functions.priority import priority_label
 from ..operators import windows as win
 from ..operators.parse import requests_only
 from . import core, inputs
+from .materialize import materialize
 from . import oracle as O
 
 _PARSED: dict = {}
@@ -79,7 +80,9 @@ _DETS: dict = {}
 def _dets(spark, sf_dir):
     key = (id(spark), sf_dir)
     if key not in _DETS:
-        _DETS[key] = core.detections(parsed(spark, sf_dir))
+        # The detection list is a product of its own; writing it once lets
+        # verdicts, summaries and reports read it instead of re-deriving it
+        _DETS[key] = materialize(core.detections(parsed(spark, sf_dir)), "detections")
     return _DETS[key]
 
 
