@@ -70,7 +70,12 @@ req AS (
     CASE WHEN kind IN ('access_log', 'timestamp_first_access_log') THEN size0 END AS size,
     CASE WHEN kind = 'access_log' THEN username0 END AS username,
     CASE WHEN kind = 'ssl_request_log' THEN proto0 END AS tls_protocol,
-    CASE WHEN kind = 'error_log' THEN 'error' END AS level
+    CASE WHEN kind = 'error_log' THEN 'error' END AS level,
+    CASE WHEN kind = 'error_log' THEN NULL
+         WHEN method0 = 'EMPTY' THEN '' WHEN method0 = 'INCOMPLETE' THEN '-'
+         WHEN kind = 'ssl_request_log' AND method0 = 'POST'
+           THEN '{{\\"id\\":' || CAST(event_id_mod3 AS VARCHAR) || ',\\"method\\":\\"' || json0 || '\\"}}'
+         ELSE method0 || ' ' || url0 || ' HTTP/1.1' END AS request
   FROM (SELECT *, ord % 3 AS event_id_mod3 FROM wl)
 )"""
 

@@ -138,6 +138,24 @@ def q_ip_classes(spark, sf_dir):
     return p.select("ip", ip_class(F.col("ip")).alias("ip_class"), ip_to_long(F.col("ip")).alias("ip_num"))
 
 
+def q_report_lines(spark, sf_dir):
+    from ..operators.report import report_lines
+    v = core.verdicts(_dets(spark, sf_dir))
+    return report_lines(v).select("ip", "count_text", "reason_text", "country")
+
+
+def q_fast_profile_hits(spark, sf_dir):
+    from ..operators.signatures import shell_profile_hits
+    h = shell_profile_hits(requests_only(parsed(spark, sf_dir)), detailed=False)
+    return h.filter(F.col("sql_rx") | F.col("trv_rx")).select("ip", *_big("ord"), "sql_rx", "trv_rx")
+
+
+def q_detailed_profile_hits(spark, sf_dir):
+    from ..operators.signatures import shell_profile_hits
+    h = shell_profile_hits(requests_only(parsed(spark, sf_dir)), detailed=True)
+    return h.filter(F.col("sql_rx") | F.col("trv_rx")).select("ip", *_big("ord"), "sql_rx", "trv_rx")
+
+
 QUERIES = {
     "parse_requests": q_parse_requests,
     "log_type_counts": q_log_type_counts,
@@ -154,6 +172,9 @@ QUERIES = {
     "threat_summary": q_threat_summary,
     "label_counts": q_label_counts,
     "ip_classes": q_ip_classes,
+    "report_lines": q_report_lines,
+    "fast_profile_hits": q_fast_profile_hits,
+    "detailed_profile_hits": q_detailed_profile_hits,
 }
 
 
@@ -161,6 +182,26 @@ def _label(col: str) -> str:
     return f"CASE WHEN {col} >= 8 THEN '[高]' WHEN {col} >= 5 THEN '[中]' ELSE '[低]' END"
 
 
+def _profile_sql(detailed: bool) -> str:
+    from ..operators.patterns import (SQL_REGEX_DETAILED, SQL_REGEX_EXTRA, SQL_REGEX_FAST, TRAVERSAL_REGEX_DETAILED,
+                                      TRAVERSAL_REGEX_EXTRA, TRAVERSAL_REGEX_FAST)
+    from ..operators.signatures import _alternation
+    if detailed:
+        sql_rx, trv_rx = (_alternation(SQL_REGEX_DETAILED + SQL_REGEX_EXTRA),
+                          _alternation(TRAVERSAL_REGEX_DETAILED + TRAVERSAL_REGEX_EXTRA))
+        lv = "list_distinct([r0, r1, r2, r3])"
+        dec = ("SELECT *, lower(url_decode(r2)) AS r3 FROM (SELECT *, lower(url_decode(r1)) AS r2 FROM "
+               "(SELECT *, lower(url_decode(r0)) AS r1 FROM (SELECT *, lower(coalesce(request, url, '')) AS r0 FROM req)))")
+    else:
+        sql_rx, trv_rx = _alternation(SQL_REGEX_FAST), _alternation(TRAVERSAL_REGEX_FAST)
+        lv = "[r0, r1]"
+        dec = "SELECT *, lower(url_decode(r0)) AS r1 FROM (SELECT *, lower(coalesce(request, url, '')) AS r0 FROM req)"
+    return f"""SELECT ip, CAST(ord AS BIGINT) AS ord, sql_rx, trv_rx FROM (
+        SELECT ip, ord, list_bool_or(list_transform({lv}, lambda x: regexp_matches(x, {O.q(sql_rx)}))) AS sql_rx,
+               list_bool_or(list_transform({lv}, lambda x: regexp_matches(x, {O.q(trv_rx)}))) AS trv_rx
+        FROM ({dec})) WHERE sql_rx OR trv_rx"""
+
+
 def oracle_sql() -> dict[str, str]:
     W = O.with_all
     return {
@@ -193,6 +234,12 @@ def oracle_sql() -> dict[str, str]:
                             "FROM verdict GROUP BY reason, priority"),
         "label_counts": W(f"SELECT {_label('priority')} AS label, count(*) AS rows, count(DISTINCT ip) AS ips "
                           f"FROM verdict GROUP BY 1"),
+        "report_lines": W(f"""SELECT ip, CASE WHEN count > 0 THEN CAST(count AS VARCHAR) || '回' ELSE '-' END AS count_text,
+            CASE WHEN length(lbl || ' ' || reason) > 58 THEN left(lbl || ' ' || reason, 55) || '...'
+                 ELSE lbl || ' ' || reason END AS reason_text, 'N/A' AS country
+            FROM (SELECT *, {_label('priority')} AS lbl FROM verdict)"""),
+        "fast_profile_hits": W(_profile_sql(False), ("base",)),
+        "detailed_profile_hits": W(_profile_sql(True), ("base",)),
         "ip_classes": W("""SELECT DISTINCT ip,
             CASE WHEN split_part(ip, '.', 1) = '10' OR (split_part(ip, '.', 1) = '192' AND split_part(ip, '.', 2) = '168')
                    OR (split_part(ip, '.', 1) = '172' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31)
