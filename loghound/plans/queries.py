@@ -156,6 +156,12 @@ def q_detailed_profile_hits(spark, sf_dir):
     return h.filter(F.col("sql_rx") | F.col("trv_rx")).select("ip", *_big("ord"), "sql_rx", "trv_rx")
 
 
+def q_shell_error_rules(spark, sf_dir):
+    from ..operators.shell_rules import shell_error_detections
+    d = shell_error_detections(requests_only(parsed(spark, sf_dir)))
+    return d.select("ip", *_big("ord", "count"), "threat_level", "reason")
+
+
 QUERIES = {
     "parse_requests": q_parse_requests,
     "log_type_counts": q_log_type_counts,
@@ -175,6 +181,7 @@ QUERIES = {
     "report_lines": q_report_lines,
     "fast_profile_hits": q_fast_profile_hits,
     "detailed_profile_hits": q_detailed_profile_hits,
+    "shell_error_rules": q_shell_error_rules,
 }
 
 
@@ -202,6 +209,26 @@ def _profile_sql(detailed: bool) -> str:
         FROM ({dec})) WHERE sql_rx OR trv_rx"""
 
 
+def _shell_error_sql() -> str:
+    from ..operators.shell_rules import ACCESS_CONTROL_GROUP, ACCESS_CONTROL_MIN, LOW_REASON, SHELL_ERROR_RULES, rule_regex
+    cases = " ".join(f"WHEN regexp_matches(lower(coalesce(url, '')), {O.q(rule_regex(p))}) THEN {i}"
+                     for i, (_l, _r, p) in enumerate(SHELL_ERROR_RULES))
+    levels = O._list([r[0] for r in SHELL_ERROR_RULES] + [LOW_REASON[0]])
+    reasons = O._list([r[1] for r in SHELL_ERROR_RULES] + [LOW_REASON[1]])
+    acl = O.q(SHELL_ERROR_RULES[ACCESS_CONTROL_GROUP][1])
+    return f"""SELECT ip, CAST(ord AS BIGINT) AS ord, CAST(count AS BIGINT) AS count, threat_level, reason FROM (
+        SELECT ip, ord, 1 AS count, {levels}[rule + 1] AS threat_level,
+               {reasons}[rule + 1] || ' [' || {levels}[rule + 1] || ']' AS reason
+        FROM (SELECT *, CASE {cases} ELSE {len(SHELL_ERROR_RULES)} END AS rule FROM req WHERE log_type = 'error_log')
+        WHERE rule <> {ACCESS_CONTROL_GROUP}
+        UNION ALL
+        SELECT ip, ord, n AS count, 'MEDIUM' AS threat_level, {acl} || ' (' || CAST(n AS VARCHAR) || '回) [MEDIUM]' AS reason
+        FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts_s, ord) AS n
+              FROM (SELECT *, CASE {cases} ELSE {len(SHELL_ERROR_RULES)} END AS rule FROM req WHERE log_type = 'error_log')
+              WHERE rule = {ACCESS_CONTROL_GROUP})
+        WHERE n >= {ACCESS_CONTROL_MIN})"""
+
+
 def oracle_sql() -> dict[str, str]:
     W = O.with_all
     return {
@@ -240,6 +267,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, {_label('priority')} AS lbl FROM verdict)"""),
         "fast_profile_hits": W(_profile_sql(False), ("base",)),
         "detailed_profile_hits": W(_profile_sql(True), ("base",)),
+        "shell_error_rules": W(_shell_error_sql(), ("base",)),
         "ip_classes": W("""SELECT DISTINCT ip,
             CASE WHEN split_part(ip, '.', 1) = '10' OR (split_part(ip, '.', 1) = '192' AND split_part(ip, '.', 2) = '168')
                    OR (split_part(ip, '.', 1) = '172' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31)
