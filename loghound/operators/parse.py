@@ -1,9 +1,8 @@
 """Line classification and record extraction.
 
-One narrow projection: every line is classified with substring tests
+Narrow projections only: every line is classified with substring tests
 (``contains``/``startswith``) and its fields are cut out with
-``regexp_extract``.  No shuffle, no Python; the plan is a single
-whole-stage-codegen span after the scan.
+``regexp_extract``.  No shuffle, no Python.
 
 Output schema (``requests``): ``ord, file_path, log_type, ip, ts, ts_s,
 method, url, request, status, size, username, tls_protocol, tls_cipher,
@@ -76,7 +75,6 @@ def _first_word(c: Column) -> Column:
 
 def _access_request_kind(req: Column, body: Column, json_method: Column):
     """R2, access and timestamp-first lines -> (method, url)."""
-    lower = F.lower(req)
     w1 = F.regexp_extract(req, r"^([^ ]*)", 1)
     rest = F.regexp_extract(req, r"^[^ ]* (.*)$", 1)
     has_http = req.contains("HTTP/")
@@ -103,7 +101,6 @@ def _access_request_kind(req: Column, body: Column, json_method: Column):
                         F.concat(F.lit("NON_HTTP:"), rest)).otherwise(req))
            .when((F.length(req) < 50) & ~has_http, F.concat(F.lit("CMD:"), req))
            .otherwise(word2))
-    del lower
     return method, url
 
 
