@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from loghound.llm.chat import op6_incremental_chat
 from loghound.llm.mixing import op1_pareto_mix
 from loghound.llm.packing import op10_best_fit
+from loghound.llm.pii import op3_deobfuscated_pii
+from loghound.llm.quality import op7_byte_conv_quality
 from loghound.llm.topk import op2_norm_topk
+from loghound.llm.toxicity import op8_crf_toxicity
 
-QUERIES = {
-    "op1_pareto_mix": op1_pareto_mix,
-    "op2_norm_topk": op2_norm_topk,
-    "op10_best_fit": op10_best_fit,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_pareto_mix, op2_norm_topk, op3_deobfuscated_pii, op6_incremental_chat, op7_byte_conv_quality,
+    op8_crf_toxicity, op10_best_fit)}
 ORACLE_SQL: dict[str, str] = {}
