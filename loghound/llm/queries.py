@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loghound.llm.chat import op6_incremental_chat
+from loghound.llm.jaccard import op9_token_group_join
 from loghound.llm.mixing import op1_pareto_mix
 from loghound.llm.packing import op10_best_fit
 from loghound.llm.pii import op3_deobfuscated_pii
@@ -12,5 +13,5 @@ from loghound.llm.toxicity import op8_crf_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_pareto_mix, op2_norm_topk, op3_deobfuscated_pii, op6_incremental_chat, op7_byte_conv_quality,
-    op8_crf_toxicity, op10_best_fit)}
+    op8_crf_toxicity, op9_token_group_join, op10_best_fit)}
 ORACLE_SQL: dict[str, str] = {}
