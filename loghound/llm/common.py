@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,9 @@ def stage(df: DataFrame) -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what the write has shuffled is no longer needed: let Spark's cleaner drop the files
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
