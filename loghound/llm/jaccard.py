@@ -16,9 +16,11 @@ from loghound.llm.hashing import Rolling, byte_values, mix, powers
 #: Words of a shingle, and the similarity from which two sets link, in percent.
 WORDS = 3
 PERCENT = 90
-#: Ratio of the set sizes in one band, and parts of a set beyond the provable number.
+#: Ratio of the set sizes in one band.  Parts of a set beyond the provable number: SPARE_PARTS, and for
+#: sets that may differ in few tokens SPARE_SMALL divided by that number.
 BAND = 1.3
 SPARE_PARTS = 4
+SPARE_SMALL = 24
 #: Tokens of one block of similar sets, and sets whose token union is one row of the matrix.
 BLOCK_TOKENS = 400_000
 GROUP_ROWS = 32
@@ -87,9 +89,9 @@ def signatures(tokens: np.ndarray, low: list[int], percent: int = PERCENT) -> np
     cut into more parts than that for the largest size of a band, so that a
     linked pair agrees in whole parts; the key of a part is the hash of its
     tokens.  A set is keyed for its own band and, where a larger partner can
-    be in the next one, for that too.  Empty parts give no key; SPARE_PARTS
-    more parts keep the chance that a linked pair agrees in empty parts only
-    below one in a million.
+    be in the next one, for that too.  Empty parts give no key; the
+    spare parts keep the chance that a linked pair agrees in empty parts only
+    at a few in a million for the smallest sets and far below for others.
     """
     n = len(tokens)
     if not n:
@@ -100,7 +102,7 @@ def signatures(tokens: np.ndarray, low: list[int], percent: int = PERCENT) -> np
     keys = []
     for band in (j, j + 1) if 100 * n >= percent * low[j + 1] else (j,):
         differ = 2 * (low[band + 1] - 1) * (100 - percent) // (100 + percent)
-        parts = differ + 1 + SPARE_PARTS if differ else 1
+        parts = differ + 1 + SPARE_PARTS + SPARE_SMALL // differ if differ else 1
         part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
         full = np.nonzero(cut[1:] > cut[:-1])[0]
@@ -256,6 +258,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     F.coalesce("root", slim["doc_id"]).alias("component_id")))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    All columns stay.  Rows without doc_id stay; of rows that share a doc_id one stays.
+    """
+    groups = near_duplicates(docs, words, percent).where("doc_id = component_id").select(
+        F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(groups, docs["doc_id"].cast("long") == groups["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").cast("long").isNull())).select(*docs.columns)
+
+
 def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))

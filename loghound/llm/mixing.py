@@ -45,7 +45,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, rate: float = RATE, cap:
 
 
 def pareto_mix(docs: DataFrame, weights=WEIGHTS, rate: float = RATE, cap: float = CAP,
-               power: float = POWER, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+               power: float = POWER, seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
+               with_text: bool = False) -> DataFrame:
     """Copies of each document in a mix of the sources.
 
     Needs ``doc_id``, ``source`` and ``text``; other columns are not read.
@@ -67,11 +68,13 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, rate: float = RATE, cap: float
     empty table gives no rows; ``u`` is a hash of doc_id and ``seed``, so
     reruns agree.
 
-    Returns doc_id, source, size, source_size, target, copies, taken.
+    Returns doc_id, source, size, source_size, target, copies, taken; with
+    ``with_text`` also ``text_hash``.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     d = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                          word_count(F.col("text")).alias("size"))
+                          word_count(F.col("text")).alias("size"),
+                          *([F.xxhash64(F.col("text").cast("string")).alias("text_hash")] if with_text else []))
               .withColumn("key", key).withColumn("row", F.monotonically_increasing_id()))
     src = source_targets(d.groupBy("key", "source").agg(F.sum("size").alias("source_size"),
                                                         F.count(F.lit(1)).alias("n")), weights, rate, cap)
@@ -125,9 +128,25 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, rate: float = RATE, cap: float
     return (out.withColumn("copies", F.when(F.col("size") > 0, F.col("base") + extra).otherwise(0).cast("long"))
             .select("doc_id", "source", F.col("size").cast("long").alias("size"),
                     F.col("source_size").cast("long").alias("source_size"), "target", "copies",
-                    (F.col("copies") * F.col("size")).cast("long").alias("taken"), "row"))
+                    (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(["text_hash"] if with_text else [])))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as :func:`pareto_mix` takes it; all columns stay."""
+    taken = pareto_mix(docs, with_text=True, **options)
+    total = taken.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    total = total.where("_copies > 0").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.withColumn("_at", text_hash)
+    rows = rows.join(total, rows["doc_id"].cast("long").eqNullSafe(total["_id"]) & (rows["_at"] == total["_hash"]))
+    # rows that are equal in doc_id and text share their copies evenly
+    order = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("source"))
+    copies = (F.floor(F.col("_copies") / F.col("_rows"))
+              + F.when(F.row_number().over(order) <= F.col("_copies") % F.col("_rows"), 1).otherwise(0))
+    return (rows.withColumn("_n", copies.cast("int")).where("_n > 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns))
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return pareto_mix(table(spark, sf_dir, "documents")).drop("row")
+    return pareto_mix(table(spark, sf_dir, "documents"))

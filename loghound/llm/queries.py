@@ -9,10 +9,11 @@ from loghound.llm.packing import op10_best_fit
 from loghound.llm.pii import op3_deobfuscated_pii
 from loghound.llm.quality import op7_byte_conv_quality
 from loghound.llm.repeats import op4_prefix_doubling
+from loghound.llm.syncmers import op5_closed_syncmers
 from loghound.llm.topk import op2_norm_topk
 from loghound.llm.toxicity import op8_crf_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op1_pareto_mix, op2_norm_topk, op3_deobfuscated_pii, op4_prefix_doubling, op6_incremental_chat, op7_byte_conv_quality,
+    op1_pareto_mix, op2_norm_topk, op3_deobfuscated_pii, op4_prefix_doubling, op5_closed_syncmers, op6_incremental_chat, op7_byte_conv_quality,
     op8_crf_toxicity, op9_token_group_join, op10_best_fit)}
 ORACLE_SQL: dict[str, str] = {}
