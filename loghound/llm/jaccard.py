@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     keyed = a.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
     shared = (keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
               .where("first < last").select("key", "first"))
-    ties = keyed.join(shared, "key").where("doc_id <> first").select("doc_id", "first").distinct()
+    # both sides grow with the input: one plan at every size
+    ties = keyed.join(shared.hint("merge"), "key").where("doc_id <> first").select("doc_id", "first").distinct()
     roots = components(ties, "doc_id", "first")
 
     slim = a.select("doc_id", "n", "h1", "h2")
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "root": pdf["root"], "blocks": pdf["blocks"],
                                 "tokens": [s.tobytes() for s in sets]})
 
-    texts = d.join(wanted.select("doc_id", "root", "blocks").distinct(), "doc_id")
+    texts = d.join(wanted.select("doc_id", "root", "blocks").distinct().hint("merge"), "doc_id")
     dealt = (texts.mapInPandas(tokens_of, "doc_id long, root long, blocks long, tokens binary")
              .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
