@@ -19,10 +19,16 @@ def url_decode_once(c: Column) -> Column:
     return F.when(c.contains("%"), F.coalesce(F.try_url_decode(protected), c)).otherwise(c)
 
 
-def decode_levels(c: Column, depth: int = 3) -> Column:
-    """``array(raw, decode^1, ..., decode^depth)`` with equal neighbours
-    removed, i.e. the distinct decoding levels of a text."""
-    levels = [c]
-    for _ in range(depth):
-        levels.append(url_decode_once(levels[-1]))
-    return F.array_distinct(F.array(*levels))
+def decode_levels(c: Column) -> Column:
+    """``array(raw, decode^1, decode^2, ...)``, decoded until nothing
+    changes, with equal neighbours removed.  A pass shortens the text by two
+    characters at least, which bounds the passes; a pass over a text without
+    ``%hh`` costs one search."""
+    passes = F.when(c.rlike("%[0-9A-Fa-f]{2}"), F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(c) / 2).cast("int")))
+                    ).otherwise(F.array().cast("array<int>"))
+
+    def step(levels, _):
+        last = F.element_at(levels, -1)
+        return F.when(last.rlike("%[0-9A-Fa-f]{2}"), F.array_append(levels, url_decode_once(last))).otherwise(levels)
+
+    return F.array_distinct(F.aggregate(passes, F.array(c), step))

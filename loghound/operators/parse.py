@@ -27,14 +27,12 @@ ACCESS_PROTOCOL_MARKS = ['"t3 ', '"giop ', '"ldap ', '"ssh-', '"ftp ',
 SHORT_COMMANDS = ["quit", "exit", "help", "ping", "test"]
 TLS_COMMANDS = ["quit", "exit", "help", "user", "pass", "list", "retr", "stor", "dele", "pwd",
                 "cwd", "mkd", "rmd", "noop", "syst", "feat", "auth", "pbsz", "prot"]
-MAX_REQUEST_LENGTH = 1024
-MAX_URL_LENGTH = 2047
-MAX_METHOD_LENGTH = 15
 # --- end of fixed values ---
 
-# An escape-aware quoted field: JSON bodies with \" stay whole.
-QUOTED = r'"((?:[^"\\]|\\.)*)"'
-AFTER_QUOTED = r'"(?:[^"\\]|\\.)*"\s*(.*)$'
+# An escape-aware quoted field: JSON bodies with \" stay whole.  The possessive
+# loops run without recursion, so a request of any length matches.
+QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+AFTER_QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*(.*)$'
 ACCESS_TS = "dd/MMM/yyyy:HH:mm:ss"
 ERROR_TS = "MMM dd HH:mm:ss yyyy"
 
@@ -57,7 +55,7 @@ def classify_line(v: Column) -> Column:
                     & v.contains('] "'))
     access_req = (all_verbs | v.contains('"-"') | v.contains('] "" ') | json_body
                   | v.contains('method":') | _any_contains(v, ACCESS_PROTOCOL_MARKS)
-                  | (v.contains('" ') & ~v.contains("HTTP/") & (F.length(v) > 50)))
+                  | (v.contains('" ') & ~v.contains("HTTP/")))
     is_ts_first = (v.startswith("[") & v.contains("] ") & v.contains(' - - "')
                    & (all_verbs | v.contains('"-"') | v.contains(' "" ')))
     is_nginx_error = v.rlike(r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2} \[\w+\] .*client: \d")
@@ -87,19 +85,17 @@ def _access_request_kind(req: Column, body: Column, json_method: Column):
               .when(req.startswith("t3 "), F.lit("T3"))
               .when(req.isin(*SHORT_COMMANDS), F.upper(req))
               .when(req.contains(" ") & ~has_http,
-                    F.when((F.length(w1) > 0) & (F.length(w1) <= MAX_METHOD_LENGTH), F.upper(w1))
-                    .otherwise(F.lit("NON_HTTP")))
-              .when((F.length(req) < 50) & ~has_http, F.lit("NON_HTTP"))
-              .otherwise(F.substring(word1, 1, MAX_METHOD_LENGTH)))
+                    F.when(w1 != "", F.upper(w1)).otherwise(F.lit("NON_HTTP")))
+              .when(~has_http, F.lit("NON_HTTP"))
+              .otherwise(word1))
     url = (F.when(req == "-", F.lit("-"))
            .when(is_json, F.concat(F.lit("JSON:"), F.coalesce(json_method, F.lit("unknown"))))
            .when(req == "", F.lit(""))
-           .when(req.startswith("t3 "), F.concat(F.lit("T3:"), F.substring(req, 4, 1 << 20)))
+           .when(req.startswith("t3 "), F.concat(F.lit("T3:"), F.regexp_extract(req, r"(?s)^...(.*)$", 1)))
            .when(req.isin(*SHORT_COMMANDS), F.concat(F.lit("CMD:"), req))
            .when(req.contains(" ") & ~has_http,
-                 F.when((F.length(w1) > 0) & (F.length(w1) <= MAX_METHOD_LENGTH),
-                        F.concat(F.lit("NON_HTTP:"), rest)).otherwise(req))
-           .when((F.length(req) < 50) & ~has_http, F.concat(F.lit("CMD:"), req))
+                 F.when(w1 != "", F.concat(F.lit("NON_HTTP:"), rest)).otherwise(req))
+           .when(~has_http, F.concat(F.lit("CMD:"), req))
            .otherwise(word2))
     return method, url
 
@@ -111,15 +107,15 @@ def _tls_request_kind(req: Column, body: Column, json_method: Column):
     w1 = F.regexp_extract(req, r"^([^ ]*)", 1)
     after = F.regexp_extract(req, r"^[^ ]* (.*)$", 1)
     url2 = F.regexp_extract(after, r"^([^ ]*)", 1)
-    jm_ok = json_method.isNotNull() & (F.length(json_method) > 0) & (F.length(json_method) < 64)
+    jm_ok = json_method.isNotNull() & (json_method != "")
     method = (F.when(req == "", F.lit("SSL_EMPTY"))
               .when(req == "-", F.lit("SSL_INCOMPLETE"))
               .when(req.startswith("{"),
                     F.when(jm_ok, F.concat(F.lit("JSON:"), json_method)).otherwise(F.lit("JSON-RPC")))
               .when(cmd.isNotNull(), F.concat(F.lit("NON_HTTP:"), cmd))
               .when(req.contains(" "),
-                    F.when((F.length(w1) > 0) & (F.length(w1) <= MAX_METHOD_LENGTH), w1).otherwise(F.lit("")))
-              .otherwise(F.substring(req, 1, MAX_METHOD_LENGTH)))
+                    w1)
+              .otherwise(req))
     url = (F.when(req == "", F.lit(""))
            .when(req == "-", F.lit("-"))
            .when(req.startswith("{"), body)
@@ -134,8 +130,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     Three stacked projections: the shared pieces (class, quoted request, text
     after it, bracket text) are materialised once as columns, so Catalyst does
-    not inline a ``regexp_extract`` into every branch that uses it and the
-    generated code stays within the JVM method limits.
+    not inline a ``regexp_extract`` into every branch that uses it.
+
+    P15: a record is parsed only if its client is an IPv4 or IPv6 address and,
+    on access lines, its status has three digits.  No text is cut and no
+    length decides a kind.
     """
     v = F.col("value")
     stage1 = lines.select(
@@ -177,13 +176,16 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     ngx_tls = F.regexp_extract(v, r"\s((?:TLSv[\d.]+|SSLv\d))\s+(\S+)\s*$", 1)
     ngx_cipher = F.regexp_extract(v, r"\s(?:TLSv[\d.]+|SSLv\d)\s+(\S+)\s*$", 1)
 
-    err_ip = F.coalesce(F.nullif(F.regexp_extract(v, r"\[client ([^\]\s:]+)", 1), F.lit("")),
+    # "[client 192.0.2.1:5678]", "[client [2001:db8::1]:5678]" or a bare address: only a port goes
+    client = F.regexp_extract(v, r"\[client (\[[^\]]*\]|[^\]\s]+)", 1)
+    client = F.regexp_replace(F.regexp_replace(client, r"^((?:\d{1,3}\.){3}\d{1,3}):\d+$", "$1"), r"^\[(.*)\]$", "$1")
+    err_ip = F.coalesce(F.nullif(client, F.lit("")),
                         F.nullif(F.regexp_extract(v, r"client:? (\d{1,3}(?:\.\d{1,3}){3})", 1), F.lit("")),
                         F.nullif(F.regexp_extract(v, r"(\d{1,3}(?:\.\d{1,3}){3})", 1), F.lit("")))
-    err_msg = F.coalesce(F.nullif(F.regexp_extract(v, r"\[client [^\]]*\] ?(.*)$", 1), F.lit("")),
+    err_msg = F.coalesce(F.nullif(F.regexp_extract(v, r"\[client (?:\[[^\]]*\][^\]]*|[^\]]*)\] ?(.*)$", 1), F.lit("")),
                          F.nullif(F.regexp_extract(v, r"^(?:\[[^\]]*\]\s*)+(.*)$", 1), F.lit("")))
     ngx_msg = F.regexp_extract(v, r"^\S+ \S+ \[\w+\] (?:\d+#\d+: )?(?:\*\d+ )?(.*)$", 1)
-    level = (F.when(is_err, F.regexp_extract(v, r"^\[[^\]]*\]\s+\[([^\]:]*)", 1))
+    level = (F.when(is_err, F.regexp_extract(v, r"^\[[^\]]*\]\s+\[(?:[^\]:]*:)?([^\]:]*)\]", 1))
              .when(is_ngx, F.regexp_extract(v, r"^\S+ \S+ \[(\w+)\]", 1)))
 
     ip = (F.when(is_access, _first_word(v))
@@ -208,7 +210,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                   & (tls_status_raw > 0) & (tls_status_raw < 1000000), tls_status_raw.cast("bigint")))
 
     ts = (F.when(is_access | is_tsfirst | is_tls, F.try_to_timestamp(F.substring(bracket, 1, 20), F.lit(ACCESS_TS)))
-          .when(is_err, F.try_to_timestamp(F.substring(bracket, 5, 20), F.lit(ERROR_TS)))
+          .when(is_err, F.try_to_timestamp(F.regexp_replace(F.regexp_extract(bracket, r"^\w+ (.*)$", 1), r"\.\d+ ", " "),
+                                               F.lit(ERROR_TS)))
           .when(is_ngx, F.try_to_timestamp(F.substring(v, 1, 19), F.lit("yyyy/MM/dd HH:mm:ss"))))
 
     tls_protocol = F.when(is_tls, tls_proto).when(is_access & (ngx_tls != ""), ngx_tls)
@@ -228,13 +231,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         tls_protocol.alias("tls_protocol"),
         tls_cipher_c.alias("tls_cipher"),
         level.alias("level"),
+        tok1.rlike(r"^\d{3}$").alias("_status_ok"),
     )
     lt = F.col("log_type")
     is_err_any = lt.isin("error_log", "nginx_error_log")
     needs_request = lt.isin("access_log", "timestamp_first_access_log", "ssl_request_log")
-    parsed = (F.when(needs_request, F.col("_has_quote") & (F.length(F.col("_req")) < MAX_REQUEST_LENGTH)
-                     & (F.coalesce(F.col("_ip"), F.lit("")) != ""))
-              .when(is_err_any, F.col("_ip").isNotNull())
+    parsed = (F.when(needs_request, F.col("_has_quote") & is_address(F.col("_ip"))
+                     & ((lt == "ssl_request_log") | F.col("_status_ok")))
+              .when(is_err_any, is_address(F.col("_ip")))
               .otherwise(F.lit(False)))
     url = F.when(is_err_any, F.col("message")).otherwise(F.col("_url"))
     return stage3.select(
@@ -243,7 +247,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         "ts",
         F.unix_timestamp(F.col("ts")).alias("ts_s"),
         sanitize(F.col("_method")).alias("method"),
-        F.substring(sanitize(url), 1, MAX_URL_LENGTH).alias("url"),
+        sanitize(url).alias("url"),
         F.when(needs_request, F.col("_req")).alias("request"),
         "status", "size",
         sanitize(F.col("_username")).alias("username"),
@@ -252,6 +256,24 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def is_address(c: Column) -> Column:
+    """An IPv4 address with parts up to 255, or the shape of an IPv6 address."""
+    part = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    return F.coalesce(c.rlike(rf"^{part}(?:\.{part}){{3}}$")
+                      | (c.rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$")), F.lit(False))
+
+
+def rejects(parsed: DataFrame) -> DataFrame:
+    """Lines that gave no record, with the first reason: blank, comment, unknown format, no request,
+    client or status."""
+    v, lt = F.col("value"), F.col("log_type")
+    why = (F.when(v.rlike(r"^\s*$"), "blank").when(v.rlike(r"^\s*#"), "comment").when(lt == "unknown", "format")
+           .when(~is_address(F.col("ip")), "client")
+           .when(lt.isin("access_log", "timestamp_first_access_log") & (F.col("request") != "")
+                 & F.col("status").isNotNull(), "status").otherwise("request"))
+    return parsed.filter(~F.col("parsed")).select("ord", "file_path", "log_type", why.alias("reason"), "value")
+
+
 def requests_only(parsed: DataFrame) -> DataFrame:
     """Successfully parsed records (the detectors' input)."""
     return parsed.filter(F.col("parsed"))

@@ -3,8 +3,8 @@
 Profile ``core``: the raw url and one lenient decoding are lower-cased once
 (projected as columns, so the ``lower``/decode is not recomputed per
 signature), then every signature is a conjunction of ``contains`` tests.
-``contains`` compiles to a byte search inside whole-stage codegen and shared
-terms are evaluated once by subexpression elimination.
+``contains`` is a byte search in the JVM.  The projection is too wide for
+whole-stage code generation and runs outside it.
 
 * SQL (D1) and traversal (D6): first hit in (level, signature) order
   -> ``coalesce`` of ``when`` (stops at the first hit).
@@ -16,6 +16,8 @@ alternations on the request text and its decoding levels.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,43 +28,13 @@ from .patterns import (SHELL_SIGNATURES, SQL_REGEX_DETAILED, SQL_REGEX_EXTRA, SQ
 
 # --- fixed values: guards of the signature detectors ---
 GUARD_WORDS = ["not found", "error:", "failed", "denied", "invalid", "missing"]
-SQL_MIN_LENGTH = 10
-SHELL_MIN_LENGTH = 8
 PAGE_SUFFIXES = [".html", ".php", ".jsp", ".asp"]
 PAGE_SQL_WORDS = ["where", "=", "table", "values"]
 # --- end of fixed values ---
 
 
-def _library(rows, schema_fields) -> Column:
-    """A signature table as one constant array of structs (folded to a single
-    literal by the optimizer, so the plan stays small)."""
-    structs = []
-    for r in rows:
-        structs.append(F.struct(*[F.lit(v).alias(n) if not isinstance(v, list)
-                                  else (F.array(*[F.array(*[F.lit(t) for t in c]) for c in v])
-                                        if v and isinstance(v[0], list) else
-                                        F.array(*[F.lit(t) for t in v]).cast("array<string>")).alias(n)
-                                  for n, v in zip(schema_fields, r)]))
-    return F.array(*structs)
-
-
-def _sql_library() -> Column:
-    rows = [[i, s[2], list(s[3]), s[0] == "SQL-004"] for i, s in enumerate(SQL_SIGNATURES)]
-    return _library(rows, ["idx", "cnf", "unless", "page_guard"])
-
-
-def _shell_library() -> Column:
-    rows = [[i, s[2], s[4]] for i, s in enumerate(SHELL_SIGNATURES)]
-    return _library(rows, ["idx", "cnf", "high"])
-
-
-def _hits(lib: Column, low: Column) -> Column:
-    """signatures of ``lib`` whose every clause has a term in ``low``."""
-    return F.filter(lib, lambda p: F.forall(p["cnf"], lambda c: F.exists(c, lambda t: F.contains(low, t))))
-
-
 def _any_in(text: Column, words) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def with_levels(requests: DataFrame) -> DataFrame:
@@ -72,44 +44,6 @@ def with_levels(requests: DataFrame) -> DataFrame:
         "*", F.lower(F.col("_l0")).alias("_lo0"), F.lower(F.col("_l1")).alias("_lo1"))
 
 
-def core_signature_hits(requests: DataFrame) -> DataFrame:
-    """Add ``sql_hit`` (index of the first SQL signature hit, level-major, or
-    NULL), ``shell_hits`` (array of ``level * 1000 + index``), ``shell_high``
-    (high-risk hits) and ``trv_hit`` (first traversal index)."""
-    df = with_levels(requests)
-    is_err = F.col("log_type").isin("error_log", "nginx_error_log")
-    sql_lib = _sql_library()
-    sh_lib = _shell_library()
-    trv_lib = F.array(*[F.lit(s[2]) for s in TRAVERSAL_SIGNATURES])
-    sql_first = []
-    shell_lv = []
-    trv_first = []
-    for lvl in (0, 1):
-        raw = F.col(f"_l{lvl}")
-        low = F.col(f"_lo{lvl}")
-        # D20 guard (error-log text only) and D21 length guard, per level
-        guarded = is_err & _any_in(raw, GUARD_WORDS)
-        ok_sql = ~guarded & (F.octet_length(raw) >= SQL_MIN_LENGTH)
-        ok_shell = ~guarded & (F.octet_length(raw) >= SHELL_MIN_LENGTH)
-        page_only = _any_in(raw, PAGE_SUFFIXES) & ~_any_in(raw, PAGE_SQL_WORDS)
-        sql_hits = F.filter(_hits(sql_lib, low), lambda p: ~F.exists(p["unless"], lambda u: F.contains(low, u))
-                            & ~(p["page_guard"] & page_only))
-        sql_first.append(F.when(ok_sql, F.try_element_at(F.transform(sql_hits, lambda p: p["idx"]), F.lit(1))))
-        shell_lv.append(F.when(ok_shell, F.transform(_hits(sh_lib, low),
-                                                     lambda p: F.struct((p["idx"] + lvl * 1000).alias("h"),
-                                                                        p["high"].alias("high"))))
-                        .otherwise(F.array().cast("array<struct<h:int,high:boolean>>")))
-        trv_first.append(F.array_position(F.transform(trv_lib, lambda t: F.contains(low, t)), F.lit(True)))
-    shell_all = F.concat(*shell_lv)
-    return df.select(
-        "*",
-        F.coalesce(*sql_first).alias("sql_hit"),
-        F.transform(shell_all, lambda x: x["h"]).alias("shell_hits"),
-        F.size(F.filter(shell_all, lambda x: x["high"])).alias("shell_high"),
-        F.coalesce(*[F.when(t > 0, (t - 1).cast("int")) for t in trv_first]).alias("trv_hit"),
-    ).drop("_l0", "_l1", "_lo0", "_lo1")
-
-
 def _alternation(patterns) -> str:
     return "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
@@ -118,20 +52,22 @@ def shell_profile_hits(requests: DataFrame, detailed: bool) -> DataFrame:
     """``sql_rx`` / ``trv_rx`` booleans on the lower-cased request.
 
     fast: raw request and one decoding (only when it has ``%``);
-    detailed: up to three decoding levels, distinct levels only (F2/F3)."""
+    detailed: all decoding levels, distinct levels only (F2/F3).  Error lines
+    have rules of their own (D19) and never hit here."""
+    requests = requests.withColumn("_error", F.col("log_type").isin("error_log", "nginx_error_log"))
     req = F.lower(F.coalesce(F.col("request"), F.col("url"), F.lit("")))
     if detailed:
         sql_rx = _alternation(SQL_REGEX_DETAILED + SQL_REGEX_EXTRA)
         trv_rx = _alternation(TRAVERSAL_REGEX_DETAILED + TRAVERSAL_REGEX_EXTRA)
-        df = requests.withColumn("_levels", decode_levels(req, 3))
+        df = requests.withColumn("_levels", decode_levels(req))
         df = df.withColumn("_levels", F.transform("_levels", lambda x: F.lower(x)))
     else:
         sql_rx = _alternation(SQL_REGEX_FAST)
         trv_rx = _alternation(TRAVERSAL_REGEX_FAST)
         df = requests.withColumn("_levels", F.array_distinct(F.array(req, F.lower(url_decode_once(req)))))
-    return (df.withColumn("sql_rx", F.exists("_levels", lambda x: x.rlike(sql_rx)))
-            .withColumn("trv_rx", F.exists("_levels", lambda x: x.rlike(trv_rx)))
-            .drop("_levels"))
+    return (df.withColumn("sql_rx", ~F.col("_error") & F.exists("_levels", lambda x: x.rlike(sql_rx)))
+            .withColumn("trv_rx", ~F.col("_error") & F.exists("_levels", lambda x: x.rlike(trv_rx)))
+            .drop("_levels", "_error"))
 
 
 def _cnf_col(text: Column, clauses, unless=()) -> Column:
@@ -148,10 +84,11 @@ def _cnf_col(text: Column, clauses, unless=()) -> Column:
 
 
 def core_signature_hits_compiled(requests: DataFrame) -> DataFrame:
-    """Same result as :func:`core_signature_hits`, with every signature
-    compiled to ``contains`` predicates (whole-stage codegen instead of
-    interpreted lambdas).  The levels are projected first so the predicates
-    reference plain columns."""
+    """Add ``sql_hit`` (index of the first SQL signature hit, level-major, or
+    NULL), ``shell_hits`` (array of ``level * 1000 + index``), ``shell_high``
+    (high-risk hits) and ``trv_hit`` (first traversal index).  Every signature
+    is a conjunction of ``contains`` predicates on projected columns; no text
+    length suppresses a hit (D21 is left out: padding or brevity hid attacks)."""
     df = with_levels(requests)
     is_err = F.col("log_type").isin("error_log", "nginx_error_log")
     sql_first, shell_hits, shell_high, trv_first = [], [], [], []
@@ -160,8 +97,6 @@ def core_signature_hits_compiled(requests: DataFrame) -> DataFrame:
         raw = F.col(f"_l{lvl}")
         low = F.col(f"_lo{lvl}")
         guarded = is_err & _any_in(raw, GUARD_WORDS)
-        ok_sql = ~guarded & (F.octet_length(raw) >= SQL_MIN_LENGTH)
-        ok_shell = ~guarded & (F.octet_length(raw) >= SHELL_MIN_LENGTH)
         page_only = _any_in(raw, PAGE_SUFFIXES) & ~_any_in(raw, PAGE_SQL_WORDS)
         sql_terms = []
         for i, s in enumerate(SQL_SIGNATURES):
@@ -169,9 +104,9 @@ def core_signature_hits_compiled(requests: DataFrame) -> DataFrame:
             if s[0] == "SQL-004":
                 pred = pred & ~page_only
             sql_terms.append(F.when(pred, F.lit(i)))
-        sql_first.append(F.when(ok_sql, F.coalesce(*sql_terms)))
+        sql_first.append(F.when(~guarded, F.coalesce(*sql_terms)))
         terms = [F.when(_cnf_col(low, s[2]), F.lit(lvl * 1000 + i)) for i, s in enumerate(SHELL_SIGNATURES)]
-        shell_hits.append(F.when(ok_shell, F.array_compact(F.array(*terms))).otherwise(F.array().cast("array<int>")))
+        shell_hits.append(F.when(~guarded, F.array_compact(F.array(*terms))).otherwise(F.array().cast("array<int>")))
         trv_first.append(F.coalesce(*[F.when(low.contains(s[2]), F.lit(i)) for i, s in enumerate(TRAVERSAL_SIGNATURES)]))
     hits = df.select("*", F.coalesce(*sql_first).alias("sql_hit"),
                      F.concat(*shell_hits).alias("shell_hits"),

@@ -90,6 +90,35 @@ def running_rank(rows: DataFrame, keys: list[str], name: str = "rank",
             .drop("_bucket", "_offset"))
 
 
+def trailing_failures(failures: DataFrame, width: int = DISTRIBUTED_WINDOW_SECONDS,
+                      bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Per second with a failure, ``w_failures`` and ``w_ips`` (distinct
+    clients) of the trailing ``[sec - width, sec]``.  Nothing later counts;
+    lines of one second count together.
+
+    The clients need no set: a client is active from a failure until its next
+    one or ``width`` seconds later, so their number at a second is a running
+    sum of +1 and -1 over time, added up in time buckets whose totals are one
+    row each.
+    """
+    known = failures.filter(F.col("ts_s").isNotNull())
+    counts = sliding_counts(known, [], width, bucket_seconds).select(
+        F.col("sec").alias("ts_s"), (F.col("prev") + F.col("n")).alias("w_failures"))
+    per = known.groupBy("ip", "ts_s").agg(F.count(F.lit(1)).alias("n"))
+    until = F.least(F.col("ts_s") + width + 1, F.coalesce(F.lead("ts_s").over(W.partitionBy("ip").orderBy("ts_s")),
+                                                          F.col("ts_s") + width + 1))
+    steps = (per.withColumn("until", until)
+             .select(F.explode(F.array(F.struct(F.col("ts_s").alias("t"), F.lit(1).alias("d")),
+                                       F.struct(F.col("until").alias("t"), F.lit(-1).alias("d")))).alias("s"))
+             .groupBy("s.t").agg(F.sum("s.d").alias("d"))
+             .withColumn("bucket", F.floor(F.col("t") / bucket_seconds)))
+    before = (steps.groupBy("bucket").agg(F.sum("d").alias("b"))
+              .withColumn("before", F.sum("b").over(W.orderBy("bucket")) - F.col("b")).drop("b"))
+    active = F.col("before") + F.sum("d").over(W.partitionBy("bucket").orderBy("t"))
+    ips = steps.join(before, "bucket").select(F.col("t").alias("ts_s"), active.alias("w_ips"))
+    return counts.join(ips, "ts_s")
+
+
 def _line_counts(lines: DataFrame, keys: list[str], counts: DataFrame, min_total: int, name: str) -> DataFrame:
     """Per line: events of the same keys in ``[t - width, t]`` that come no
     later than the line, restricted to seconds where ``min_total`` can be met."""

@@ -87,9 +87,6 @@ def line_detections(requests: DataFrame, legacy_order: bool = False) -> DataFram
         4, h, F.try_element_at(sh_codes, (h % 1000) + 1), F.try_element_at(sh_reasons, (h % 1000) + 1)))
     with_phrase = hits.withColumn("_phrase", F.when(is_error, error_phrase_index(F.col("url"), legacy_order)))
     arr = F.concat(F.array_compact(F.array(*fixed[:2])), shell_dets, F.array_compact(F.array(*fixed[2:])))
-    # the complex-shell detection comes after the individual shell hits
-    arr = F.array_sort(arr, lambda a, b: F.when(a.seq * 100000 + a.sub < b.seq * 100000 + b.sub, -1)
-                       .when(a.seq * 100000 + a.sub > b.seq * 100000 + b.sub, 1).otherwise(0))
     exploded = with_phrase.select("ip", "ts_s", "ord", "log_type", F.explode(arr).alias("d"))
     return exploded.select("ip", "ts_s", "ord", "log_type", "d.*")
 
@@ -112,19 +109,9 @@ def _auth(auth: DataFrame) -> DataFrame:
         "reason", F.when(F.col("n") >= win.AUTH_FAILURE_THRESHOLD,
                          F.format_string(BRUTE_FORCE_REASON + " (%d回試行)", F.col("n"))).otherwise(F.col("reason"))
     ).withColumn("count", F.col("n"))
-    # W10 on event-time windows of 600 s sliding by 60 s; a failure belongs to
-    # the ten windows that contain it and is checked against the earliest one
-    step = 60
-    span = win.DISTRIBUTED_WINDOW_SECONDS
-    first_start = F.floor(F.col("ts_s") / step) * step - (span - step)
-    windows = (auth.filter(F.col("ts_s").isNotNull())
-               .select("ip", F.explode(F.sequence(first_start, first_start + (span - step), F.lit(step)))
-                       .alias("w_start"))
-               .groupBy("w_start").agg(F.count(F.lit(1)).alias("w_failures"),
-                                       F.countDistinct("ip").alias("w_ips")))
+    seconds = win.trailing_failures(auth)
     fired = (ranked.filter((F.col("n") < win.AUTH_FAILURE_THRESHOLD) & F.col("ts_s").isNotNull())
-             .withColumn("w_start", first_start)
-             .join(windows, "w_start")
+             .join(seconds, "ts_s")
              .filter((F.col("w_failures") >= win.DISTRIBUTED_MIN_FAILURES)
                      & (F.col("w_ips") >= win.DISTRIBUTED_MIN_IPS))
              .withColumn("reason", F.format_string(DISTRIBUTED_REASON + " (%d IP、%d回試行)",
@@ -132,7 +119,7 @@ def _auth(auth: DataFrame) -> DataFrame:
              .withColumn("count", F.col("n"))
              .withColumn("sub", F.lit(1))
              .withColumn("code", F.lit("ERR-DIST"))
-             .drop("w_start", "w_failures", "w_ips"))
+             .drop("w_failures", "w_ips"))
     return base.drop("n").unionByName(fired.drop("n"))
 
 

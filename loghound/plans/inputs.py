@@ -10,7 +10,7 @@ from .materialize import materialize
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.log_lines(spark, sf_dir)
+    return synthetic.log_lines(spark, sf_dir, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators.patterns import (COMPLEX_SHELL_REASON, SHELL_SIGNATURES, SQL_SI
                                   TRAVERSAL_SIGNATURES, shell_reason, sql_reason)
 from ..operators.rows import (BRUTE_FORCE_REASON, DEPRECATED_TLS_MARKS, DISTRIBUTED_REASON, ERROR_PHRASES,
                               SENSITIVE_FILE_MARKS, WEBDAV_METHODS, row_detectors)
-from ..operators.signatures import GUARD_WORDS, PAGE_SQL_WORDS, PAGE_SUFFIXES, SHELL_MIN_LENGTH, SQL_MIN_LENGTH
+from ..operators.signatures import GUARD_WORDS, PAGE_SQL_WORDS, PAGE_SUFFIXES
 from ..functions.priority import CORE_PRIORITY_RULES
 from ..sources import synthetic as syn
 
@@ -98,8 +98,8 @@ def signature_cte() -> str:
         raw = f"l{lvl}"
         low = f"lo{lvl}"
         guard = f"(log_type = 'error_log' AND {_contains_any(raw, GUARD_WORDS)})"
-        ok_sql = f"(NOT {guard} AND strlen({raw}) >= {SQL_MIN_LENGTH})"
-        ok_sh = f"(NOT {guard} AND strlen({raw}) >= {SHELL_MIN_LENGTH})"
+        ok_sql = f"(NOT {guard})"
+        ok_sh = f"(NOT {guard})"
         page_only = f"({_contains_any(raw, PAGE_SUFFIXES)} AND NOT {_contains_any(raw, PAGE_SQL_WORDS)})"
         sql_cases = []
         for i, s in enumerate(SQL_SIGNATURES):
@@ -216,16 +216,16 @@ authhit AS (
   FROM authrank
 ),
 authwin AS (
-  SELECT w_start, count(*) AS w_failures, count(DISTINCT ip) AS w_ips FROM (
-    SELECT ip, CAST(floor(ts_s / 60) * 60 - 540 + 60 * k AS BIGINT) AS w_start
-    FROM errph, range(10) t(k) WHERE ph_auth)
-  GROUP BY w_start
+  SELECT a.ord, count(*) AS w_failures, count(DISTINCT b.ip) AS w_ips
+  FROM (SELECT ord, ts_s FROM errph WHERE ph_auth) a
+  JOIN (SELECT ip, ts_s FROM errph WHERE ph_auth) b ON b.ts_s BETWEEN a.ts_s - {win.DISTRIBUTED_WINDOW_SECONDS} AND a.ts_s
+  GROUP BY a.ord
 ),
 disthit AS (
   SELECT a.ip, a.ts_s, a.ord, 15 AS seq, 1 AS sub,
          {q(DISTRIBUTED_REASON)} || ' (' || CAST(w.w_ips AS VARCHAR) || ' IP、' || CAST(w.w_failures AS VARCHAR) || '回試行)' AS reason,
          a.n AS count, FALSE AS acc
-  FROM authrank a JOIN authwin w ON w.w_start = CAST(floor(a.ts_s / 60) * 60 - 540 AS BIGINT)
+  FROM authrank a JOIN authwin w ON w.ord = a.ord
   WHERE a.n < {win.AUTH_FAILURE_THRESHOLD} AND w.w_failures >= {win.DISTRIBUTED_MIN_FAILURES}
     AND w.w_ips >= {win.DISTRIBUTED_MIN_IPS}
 ),

@@ -206,7 +206,7 @@ def _profile_sql(detailed: bool) -> str:
     return f"""SELECT ip, CAST(ord AS BIGINT) AS ord, sql_rx, trv_rx FROM (
         SELECT ip, ord, list_bool_or(list_transform({lv}, lambda x: regexp_matches(x, {O.q(sql_rx)}))) AS sql_rx,
                list_bool_or(list_transform({lv}, lambda x: regexp_matches(x, {O.q(trv_rx)}))) AS trv_rx
-        FROM ({dec})) WHERE sql_rx OR trv_rx"""
+        FROM ({dec}) WHERE log_type NOT IN ('error_log', 'nginx_error_log')) WHERE sql_rx OR trv_rx"""
 
 
 def _shell_error_sql() -> str:

@@ -1,15 +1,12 @@
 """File-level format guess and quality profile.
 
-Both look at the head of each file only.  The head is found without a
-window over whole files (a file can hold a third of all lines): the first
-split of a file (``file_block_start = 0``) gets its smallest ``ord`` by a
-partial aggregate, and lines with ``ord < first + n`` are the file's first
-``n`` lines.
+Both look at the head of each file only: the first lines in file order,
+however many blank or comment lines stand between them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.parse import classify_line
@@ -24,15 +21,10 @@ WARN_MIN_CHECKED = 2
 
 def _head(lines: DataFrame, n: int, skip_blank: bool) -> DataFrame:
     src = lines.filter(~F.col("value").rlike(r"^\s*(#|$)")) if skip_blank else lines
-    first = (src.filter(F.col("file_block_start") == 0).groupBy("file_path")
-             .agg(F.min("ord").alias("_first")))
-    ranked = src.join(first, "file_path").filter(F.col("ord") >= F.col("_first"))
-    # ord is consecutive inside a split; blank lines removed above may leave
-    # gaps, so take the n smallest ords among the first (n + gaps) candidates
-    cand = ranked.filter(F.col("ord") < F.col("_first") + n * 50)
-    top = cand.groupBy("file_path").agg(F.slice(F.sort_array(F.collect_list(F.struct("ord", "value"))), 1, n)
-                                        .alias("head"))
-    return top.select("file_path", F.explode("head").alias("l")).select("file_path", "l.ord", "l.value")
+    first = Window.partitionBy("file_path").orderBy("file_block_start", "ord")
+    # a limit on row_number is applied in every task before the shuffle: n rows of a file per split move
+    return (src.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n)
+            .select("file_path", "ord", "value"))
 
 
 def file_log_type(lines: DataFrame) -> DataFrame:

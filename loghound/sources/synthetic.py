@@ -79,16 +79,13 @@ def _pick(values, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
-def weblog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weblog(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Structured request records (one per event), the ground truth the
     rendered lines encode."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
-    # a small table is one split; spread it over the cores (round robin) so
-    # parsing and matching run in parallel.  Large inputs already arrive in
-    # many splits and keep their layout (no extra shuffle).
-    cores = spark.sparkContext.defaultParallelism
-    if ev.rdd.getNumPartitions() < cores:
-        ev = ev.repartition(cores * 2)
+    # a table that is one split can be spread round robin on request
+    if partitions:
+        ev = ev.repartition(partitions)
     eid = F.col("event_id")
     uid = F.col("user_id")
     kind = (F.when(F.col("event_type") == "error", F.lit("error_log"))
@@ -140,7 +137,7 @@ def render_lines(records: DataFrame) -> DataFrame:
     return records.select(F.col("ord"), line.alias("value"))
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_lines(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Raw log lines with the columns of :func:`loghound.sources.text.read_log_lines`."""
-    return render_lines(weblog(spark, sf_dir)).select(
+    return render_lines(weblog(spark, sf_dir, partitions)).select(
         "ord", F.lit("events").alias("file_path"), "value")

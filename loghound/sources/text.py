@@ -8,12 +8,11 @@ per-task running id, increasing in file order inside a split.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed limits of the log model.
-MAX_LINE_LENGTH = 8192
-
 
 def read_log_lines(spark: SparkSession, paths, stream: bool = False) -> DataFrame:
     """Lines with ``file_path``, ``file_block_start``, ``ord`` and ``value``.
@@ -24,8 +23,14 @@ def read_log_lines(spark: SparkSession, paths, stream: bool = False) -> DataFram
     """
     if isinstance(paths, str):
         paths = [paths]
-    reader = spark.readStream if stream else spark.read
-    raw = reader.format("text").load(paths if not stream else paths[0])
+    if stream:
+        raw = reduce(DataFrame.unionByName, [_columns(spark.readStream.format("text").load(p)) for p in paths])
+    else:
+        raw = _columns(spark.read.format("text").load(paths))
+    return raw
+
+
+def _columns(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
@@ -35,10 +40,9 @@ def read_log_lines(spark: SparkSession, paths, stream: bool = False) -> DataFram
 
 
 def line_flags(lines: DataFrame) -> DataFrame:
-    """Length bound and blank/comment flags, rows kept for statistics."""
+    """S3: blank/comment flag, rows kept for statistics; a line of any length stays whole."""
     v = F.col("value")
     return lines.select(
         "*",
-        (F.length(v) > MAX_LINE_LENGTH).alias("truncated"),
         v.rlike(r"^\s*(#|$)").alias("blank_or_comment"),
-    ).withColumn("value", F.substring(v, 1, MAX_LINE_LENGTH))
+    )
