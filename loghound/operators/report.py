@@ -53,4 +53,4 @@ def write_report(verdicts: DataFrame, stats: DataFrame, path: str) -> None:
     threat_summary(verdicts).write.mode("overwrite").parquet(f"{path}/summary")
     ranked_lines = report_lines(ranked(verdicts))
     ranked_lines.write.mode("overwrite").parquet(f"{path}/ranked")
-    ranked_lines.select("line").coalesce(1).write.mode("overwrite").text(f"{path}/ranked_text")
+    ranked_lines.select("line").write.mode("overwrite").text(f"{path}/ranked_text")

@@ -24,7 +24,7 @@ _PARSED: dict = {}
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed requests of ``sf_dir``, written once per session and reused."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PARSED:
         _PARSED[key] = inputs.parsed(spark, sf_dir)
     return _PARSED[key]
@@ -78,7 +78,7 @@ _DETS: dict = {}
 
 
 def _dets(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _DETS:
         # The detection list is a product of its own; writing it once lets
         # verdicts, summaries and reports read it instead of re-deriving it

@@ -10,7 +10,8 @@ what changes results or plan shape:
   sort-merge joins and AQE switches them to broadcast only when the runtime
   size of the small side is under the threshold.
 * ``spark.checkpoint.dir`` is read from the session; a local folder is only
-  set when nothing is configured (tests, local runs).
+  set when nothing is configured on a local master; a cluster without it is an
+  error.
 """
 
 from __future__ import annotations
@@ -72,6 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="loghound-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
