@@ -139,16 +139,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
                 part = np.array([k[1] for k, _, _ in block], dtype=np.int64)[piece]
                 off = np.array([o for _, o, _ in block], dtype=np.int64)[piece]
                 rows.append((doc, _pack(s + off, windows, anchor, part), gram.view(np.int64), whole.view(np.int64)))
-            if not rows:
+            doc, at, gram, whole = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 4
+            if not len(doc):
                 continue
-            doc, at, gram, whole = (np.concatenate(x) for x in zip(*rows))
             order = np.lexsort((at, doc, whole, gram))
             doc, at, gram, whole = doc[order], at[order], gram[order], whole[order]
             same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (whole[1:] == whole[:-1])])
-            again = same & np.concatenate([[False], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
-            run = np.cumsum(~same) - 1  # rows equal to the first of their run are not later than it
-            head = np.nonzero(~same)[0][run] if len(run) else run
-            again = same & ((doc != doc[head]) | (at != at[head])) if len(run) else again
+            head = np.nonzero(~same)[0][np.cumsum(~same) - 1]
+            again = same & ((doc != doc[head]) | (at != at[head]))  # a repeated row is not later than itself
             # a settled row needs no meeting: it gets a key of its own
             gram = np.where(again, doc * np.int64(1_000_003) ^ at, gram)
             yield pd.DataFrame({"gram": gram, "whole": whole, "doc_id": doc, "at": at, "again": again})

@@ -147,6 +147,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = K,
     all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
 
     def run(left, right, keys):
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both come from one table
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
             lambda a, b: search_bucket(a, b, k), _HITS)
 

@@ -1,0 +1,10 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    def make(rows):
+        """documents with an extra column whose name clashes with inner ones."""
+        return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 1) for i, t, s in rows],
+                                     "doc_id long, text string, lang string, source string, n_chars long, size int")
+    return make
