@@ -213,8 +213,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_if_null(F.col("text")).alias("text"))
     a = stage(d.mapInPandas(sets_of, "doc_id long, n long, h1 long, h2 long, keys array<long>"))
     keyed = a.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
-    shared = (keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-              .where("first < last").select("key", "first"))
+    # written, so that the first shuffle of the keys is gone before the second
+    shared = stage(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                   .where("first < last").select("key", "first"))
     # both sides grow with the input: one plan at every size
     ties = keyed.join(shared.hint("merge"), "key").where("doc_id <> first").select("doc_id", "first").distinct()
     roots = components(ties, "doc_id", "first")
