@@ -11,6 +11,15 @@ from loghound.llm import chat, jaccard, mixing, packing, pii, quality, repeats,
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    def make(rows):
+        """documents with an extra column whose name clashes with inner ones."""
+        return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 1) for i, t, s in rows],
+                                     "doc_id long, text string, lang string, source string, n_chars long, size int")
+    return make
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice(["ba", "ko", "ri", "th", "en", "so", "lu", "mi"]) for _ in range(rng.randint(1, 4)))
                     for _ in range(n))
