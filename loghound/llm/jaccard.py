@@ -18,7 +18,7 @@ WORDS = 3
 PERCENT = 90
 #: Ratio of the set sizes in one band.  Parts of a set beyond the provable number: SPARE_PARTS, and for
 #: sets that may differ in few tokens SPARE_SMALL divided by that number.
-BAND = 1.3
+BAND = 1.75
 SPARE_PARTS = 4
 SPARE_SMALL = 24
 #: Tokens of one block of similar sets, and sets whose token union is one row of the matrix.
@@ -214,8 +214,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     a = stage(d.mapInPandas(sets_of, "doc_id long, n long, h1 long, h2 long, keys array<long>"))
     keyed = a.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
     # written, so that the first shuffle of the keys is gone before the second
-    shared = stage(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-                   .where("first < last").select("key", "first"))
+    # (a count, mostly 1, packs better in the shuffle than a second id)
+    shared = stage(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+                   .where("rows > 1").select("key", "first"))
     # both sides grow with the input: one plan at every size
     ties = keyed.join(shared.hint("merge"), "key").where("doc_id <> first").select("doc_id", "first").distinct()
     roots = components(ties, "doc_id", "first")
