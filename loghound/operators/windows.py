@@ -13,8 +13,9 @@ carry all of them:
   ``(keys, bucket)`` sees its full look-back.  A task holds at most one
   bucket of one key (<= ``bucket_seconds`` rows).
 * :func:`running_rank` - 1-based position of a row among the rows of the same
-  keys in event order ``(ts_s, ord)``: per-bucket counts (partial aggregate),
-  a prefix sum over buckets (tiny), and a row number inside a bucket.
+  keys in event order ``(ts_s, ord)``: counts per second (partial aggregate),
+  prefix sums inside a bucket and over buckets, and a row number within one
+  second only.
 
 The order of a log is its event time with the line position as tie-break, so
 a batch verdict does not depend on how files were split or listed.
@@ -78,16 +79,27 @@ def sliding_counts(events: DataFrame, keys: list[str], width: int = SLIDING_WIND
 def running_rank(rows: DataFrame, keys: list[str], name: str = "rank",
                  bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Add ``name``: 1-based position of each row among rows with equal
-    ``keys`` in ``(ts_s, ord)`` order (a skew-safe cumulative count)."""
-    t = F.coalesce(F.col("ts_s"), F.lit(0))
-    with_b = rows.withColumn("_bucket", F.floor(t / bucket_seconds))
-    per_bucket = with_b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    ``keys`` in ``(ts_s, ord)`` order (a skew-safe cumulative count).
+
+    Rows are counted per second before the shuffle, the counts are added up
+    inside a bucket and over buckets, and rows are numbered only within one
+    second.  Rows without time come first, in groups of neighbouring ``ord``.
+    """
+    sec = F.coalesce(F.col("ts_s").cast("bigint"), F.shiftright(F.col("ord"), 12) - F.lit(2 ** 53))
+    timed = rows.withColumn("_sec", sec)
+    per_sec = (timed.groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_bucket", F.floor(F.col("_sec") / bucket_seconds)))
+    per_bucket = per_sec.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_b"))
     wb = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_bucket.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_offset"))
-    wi = W.partitionBy(*keys, "_bucket").orderBy(t, F.col("ord"))
-    return (with_b.join(offsets, [*keys, "_bucket"])
-            .withColumn(name, (F.col("_offset") + F.row_number().over(wi)).cast("int"))
-            .drop("_bucket", "_offset"))
+    offsets = per_bucket.select(*keys, "_bucket", F.coalesce(F.sum("_b").over(wb), F.lit(0)).alias("_offset"))
+    ws = W.partitionBy(*keys, "_bucket").orderBy("_sec").rowsBetween(W.unboundedPreceding, -1)
+    starts = (per_sec.withColumn("_within", F.coalesce(F.sum("_n").over(ws), F.lit(0)))
+              .join(offsets, [*keys, "_bucket"])
+              .select(*keys, "_sec", (F.col("_offset") + F.col("_within")).alias("_start")))
+    wi = W.partitionBy(*keys, "_sec").orderBy("ord")
+    return (timed.join(starts, [*keys, "_sec"])
+            .withColumn(name, (F.col("_start") + F.row_number().over(wi)).cast("int"))
+            .drop("_sec", "_start"))
 
 
 def trailing_failures(failures: DataFrame, width: int = DISTRIBUTED_WINDOW_SECONDS,

@@ -162,6 +162,18 @@ def q_shell_error_rules(spark, sf_dir):
     return d.select("ip", *_big("ord", "count"), "threat_level", "reason")
 
 
+def q_shell_4xx(spark, sf_dir):
+    from ..operators.shell_rules import shell_client_errors
+    d = shell_client_errors(requests_only(parsed(spark, sf_dir)))
+    return d.select("ip", *_big("ts_s", "ord", "status", "count"), "reason")
+
+
+def q_dominant_4xx(spark, sf_dir):
+    from ..operators.shell_rules import client_error_classes
+    d = client_error_classes(requests_only(parsed(spark, sf_dir)))
+    return d.select("ip", *_big("total", "kinds", "dominant"), "reason")
+
+
 QUERIES = {
     "parse_requests": q_parse_requests,
     "log_type_counts": q_log_type_counts,
@@ -182,6 +194,8 @@ QUERIES = {
     "fast_profile_hits": q_fast_profile_hits,
     "detailed_profile_hits": q_detailed_profile_hits,
     "shell_error_rules": q_shell_error_rules,
+    "shell_4xx": q_shell_4xx,
+    "dominant_4xx": q_dominant_4xx,
 }
 
 
@@ -229,6 +243,46 @@ def _shell_error_sql() -> str:
         WHERE n >= {ACCESS_CONTROL_MIN})"""
 
 
+def _attack_sql(col: str) -> str:
+    from ..operators.shell_rules import STATUS_ATTACKS, UNCLASSED_4XX
+    cases = " ".join(f"WHEN {s} THEN {O.q(t)}" for s, t in STATUS_ATTACKS.items())
+    return f"CASE {col} {cases} ELSE {O.q(UNCLASSED_4XX)} END"
+
+
+def _shell_4xx_sql() -> str:
+    """Counts by ranges and running sums over the plain lines; the first rule met wins."""
+    from ..operators.shell_rules import BULK_4XX_PREFIX, COMPOSITE_4XX, INSTANT_STATUS, SHELL_BULK_MIN, STATUS_MINIMUM
+    own = " OR ".join(f"(status = {s} AND w_status >= {n})" for s, n in STATUS_MINIMUM.items())
+    earlier = f"RANGE BETWEEN {win.SLIDING_WINDOW_SECONDS} PRECEDING AND 1 PRECEDING"
+    return f"""SELECT ip, CAST(ts_s AS BIGINT) AS ts_s, CAST(ord AS BIGINT) AS ord, CAST(status AS BIGINT) AS status,
+            CAST(CASE rule WHEN 1 THEN c_status WHEN 2 THEN w_status WHEN 3 THEN c_total ELSE w_total END AS BIGINT) AS count,
+            CASE WHEN rule IN (1, 2) THEN {_attack_sql('status')} WHEN rule = 3 THEN {O.q(COMPOSITE_4XX)}
+                 ELSE {O.q(BULK_4XX_PREFIX)} || {_attack_sql('status')} END AS reason
+        FROM (SELECT *, CASE WHEN status = {INSTANT_STATUS} THEN 1 WHEN ts_s IS NULL THEN NULL WHEN {own} THEN 2
+                             WHEN kinds >= 2 THEN 3 WHEN w_total >= {SHELL_BULK_MIN} THEN 4 END AS rule
+              FROM (SELECT *, sum(CASE WHEN c_status = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY ip ORDER BY c_total) AS kinds
+                    FROM (SELECT ip, status, ts_s, ord,
+                            row_number() OVER (PARTITION BY ip, status ORDER BY coalesce(ts_s, 0), ord) AS c_status,
+                            row_number() OVER (PARTITION BY ip ORDER BY coalesce(ts_s, 0), ord) AS c_total,
+                            count(*) OVER (PARTITION BY ip, status ORDER BY ts_s {earlier})
+                              + row_number() OVER (PARTITION BY ip, status, ts_s ORDER BY ord) AS w_status,
+                            count(*) OVER (PARTITION BY ip ORDER BY ts_s {earlier})
+                              + row_number() OVER (PARTITION BY ip, ts_s ORDER BY ord) AS w_total
+                          FROM req WHERE status BETWEEN 400 AND 499)))
+        WHERE rule IS NOT NULL"""
+
+
+def _dominant_4xx_sql() -> str:
+    from ..operators.shell_rules import COMPOSITE_4XX
+    return f"""SELECT ip, CAST(total AS BIGINT) AS total, CAST(kinds AS BIGINT) AS kinds, CAST(status AS BIGINT) AS dominant,
+            CASE WHEN kinds >= 2 THEN {O.q(COMPOSITE_4XX)} ELSE {_attack_sql('status')} END AS reason
+        FROM (SELECT *, sum(n) OVER (PARTITION BY ip) AS total, count(*) OVER (PARTITION BY ip) AS kinds,
+                     row_number() OVER (PARTITION BY ip ORDER BY n DESC, first_t) AS place
+              FROM (SELECT ip, status, count(*) AS n, min(coalesce(ts_s, 0) * 100000000 + ord) AS first_t
+                    FROM req WHERE status BETWEEN 400 AND 499 GROUP BY ip, status))
+        WHERE place = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     W = O.with_all
     return {
@@ -268,6 +322,8 @@ def oracle_sql() -> dict[str, str]:
         "fast_profile_hits": W(_profile_sql(False), ("base",)),
         "detailed_profile_hits": W(_profile_sql(True), ("base",)),
         "shell_error_rules": W(_shell_error_sql(), ("base",)),
+        "shell_4xx": W(_shell_4xx_sql(), ("base",)),
+        "dominant_4xx": W(_dominant_4xx_sql(), ("base",)),
         "ip_classes": W("""SELECT DISTINCT ip,
             CASE WHEN split_part(ip, '.', 1) = '10' OR (split_part(ip, '.', 1) = '192' AND split_part(ip, '.', 2) = '168')
                    OR (split_part(ip, '.', 1) = '172' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31)

@@ -1,3 +1,4 @@
+from loghound.operators import shell_rules
 from loghound.operators import windows as win
 
 
@@ -38,3 +39,37 @@ def test_running_rank(spark):
     rows = [("a", 7200 * (i % 3), i, 200) for i in range(9)]
     ranked = win.running_rank(_req(spark, rows), ["ip"], "n").collect()
     assert sorted(r["n"] for r in ranked) == list(range(1, 10))
+
+
+def test_running_rank_without_time(spark):
+    # rows without time come first, by line; one second holds many rows
+    rows = [("a", None, i * 5000, 200) for i in range(4)] + [("a", 7, 30000 - i, 200) for i in range(4)]
+    ranked = win.running_rank(_req(spark, rows), ["ip"], "n").orderBy("ord").collect()
+    assert [r["n"] for r in ranked] == list(range(1, 9))
+
+
+def _shell(spark, rows):
+    found = shell_rules.shell_client_errors(_req(spark, rows)).orderBy("ord").collect()
+    return [(r["ord"], r["count"], r["reason"]) for r in found]
+
+
+def test_shell_client_errors(spark):
+    rows = [("1.0.0.1", 100 + i, i, 404) for i in range(10)]
+    found = _shell(spark, rows)
+    assert found[0] == (4, 5, "大量の400系エラー - リソース探索/偵察活動")
+    assert found[-1] == (9, 10, "リソース探索/偵察活動")
+    # 300 s back counts, 301 s back does not
+    assert _shell(spark, [("1.0.0.2", t, t, 401) for t in (0, 1, 300)])[0][1] == 3
+    assert _shell(spark, [("1.0.0.2", t, t, 401) for t in (0, 1, 301)]) == []
+    # a second kind, an instant status, a line without time
+    rows = [("1.0.0.3", None, 0, 404), ("1.0.0.3", 5, 1, 410), ("1.0.0.3", None, 2, 408)]
+    assert _shell(spark, rows) == [(1, 3, "複合的な400系エラー攻撃"), (2, 1, "不完全なHTTPリクエスト")]
+    assert _shell(spark, [("1.0.0.4", 5, 1, 200)]) == []
+
+
+def test_client_error_classes(spark):
+    rows = [("a", 5, 1, 404), ("a", 1, 2, 410), ("b", 1, 3, 418), ("c", 1, 4, 429), ("c", 2, 5, 429)]
+    got = {r["ip"]: (r["total"], r["kinds"], r["dominant"], r["reason"])
+           for r in shell_rules.client_error_classes(_req(spark, rows)).collect()}
+    assert got == {"a": (2, 2, 410, "複合的な400系エラー攻撃"), "b": (1, 1, 418, "スキャン/攻撃の可能性"),
+                   "c": (2, 1, 429, "レート制限回避試行")}
