@@ -18,11 +18,11 @@ WORDS = 3
 PERCENT = 90
 #: Ratio of the set sizes in one band.  Parts of a set beyond the provable number: SPARE_PARTS, and for
 #: sets that may differ in few tokens SPARE_SMALL divided by that number.
-BAND = 1.75
+BAND = 1.3
 SPARE_PARTS = 4
 SPARE_SMALL = 24
 #: Tokens of one block of similar sets, and sets whose token union is one row of the matrix.
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS = 800_000
 GROUP_ROWS = 32
 #: Bytes that are tokenised at once in a worker.
 BLOCK_BYTES = 1_500_000
@@ -188,9 +188,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
        shuffle), never to all others.  The components of these ties partition
        the documents into groups of similar ones that no link leaves.
     3. For groups with several classes the texts of one document per class
-       are read again.  A group is dealt to blocks of about ``block_tokens``
-       tokens; every pair of blocks of a group is one task that runs the
-       token-group matrix and returns verified links.
+       are read again.  A group beyond ``block_tokens`` tokens is cut by set
+       size, each part is dealt to blocks of about ``block_tokens``; every
+       pair of blocks of a part is one task that runs the token-group matrix
+       and returns verified links.
     4. Components of the verified links.
 
     Cases: a text that is null or has no words has an empty set and is alone;
@@ -227,21 +228,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = members.groupBy("root", "n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     # a document id that stands in several rows ties its classes together
     classes = stage(classes)
-    groups = (classes.groupBy("root").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("tokens"))
-              .where("classes > 1").withColumn("blocks", F.ceil(F.col("tokens") / block_tokens)))
-    wanted = classes.join(groups, "root").select(F.col("rep").alias("doc_id"), "root", "blocks", "h1", "h2")
+
+    def large(by: list[str], rows: DataFrame) -> DataFrame:
+        return (rows.groupBy(*by).agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("tokens"))
+                .where("classes > 1").withColumn("blocks", F.ceil(F.col("tokens") / block_tokens)).drop("classes", "tokens"))
+
+    # a group beyond one block is cut by set size: the smaller of two linked sets also stands with the next
+    # doubling if a partner can be there, so no link is lost
+    home = F.floor(F.log2("n"))
+    reach = F.floor(F.log2(F.col("n") * 100 / percent) + 1e-9)
+    grouped = stage(classes.join(large(["root"], classes), "root")
+                    .withColumn("part", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(-1).cast("long")))
+                                                  .otherwise(F.array_distinct(F.array(home, reach)))))
+                    .select(F.col("rep").alias("doc_id"), "root", "part", "n"))
+    wanted = (grouped.join(large(["root", "part"], grouped), ["root", "part"])
+              .select("doc_id", "root", "part", "blocks").distinct())
 
     def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = shingle_sets([t.encode() for t in pdf["text"]], words)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "root": pdf["root"], "blocks": pdf["blocks"],
-                                "tokens": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "root": pdf["root"], "part": pdf["part"],
+                                "blocks": pdf["blocks"], "tokens": [s.tobytes() for s in sets]})
 
-    texts = d.join(wanted.select("doc_id", "root", "blocks").distinct().hint("merge"), "doc_id")
-    dealt = (texts.mapInPandas(tokens_of, "doc_id long, root long, blocks long, tokens binary")
+    texts = d.join(wanted.hint("merge"), "doc_id")
+    dealt = (texts.mapInPandas(tokens_of, "doc_id long, root long, part long, blocks long, tokens binary")
              .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+             .select("root", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                      "block", "doc_id", "tokens"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -252,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         links = linked_pairs(sets, None if i == j else (pdf["block"] == i).to_numpy(), percent)
         return pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]}).astype("int64")
 
-    links = dealt.groupBy("root", "i", "j").applyInPandas(verify, "a long, b long")
+    links = dealt.groupBy("root", "part", "i", "j").applyInPandas(verify, "a long, b long")
     # equal sets link by themselves; an id with several texts ties their classes
     equal = members.join(classes, ["root", "n", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.union(equal.where("a <> b")))
