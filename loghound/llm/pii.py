@@ -92,7 +92,8 @@ _SPELLED = re.compile(rf"(?i)(?<![a-z])(?:plus[\x20-]+)?{_WORD}(?:[\x20,-]+{_WOR
 _SPELLED_STEP = re.compile(rf"(?i)(plus|{_WORD})([\x20,-]*)")
 _BRACKET_AT = re.compile(r"(?i)\x20*[(\[{<]\x20*(?:at|@)\x20*[)\]}>]\x20*")
 _BRACKET_DOT = re.compile(r"(?i)\x20*[(\[{<]\x20*(?:dot|point|\.)\x20*[)\]}>]\x20*")
-_PLAIN_AT = re.compile(r"(?i)(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+\x20+dot\x20+[a-z0-9])")
+_PLAIN_AT = re.compile(r"(?i)(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+"
+                       r"(?:\x20+dot\x20+|\x20*[(\[{<]\x20*(?:dot|point|\.)\x20*[)\]}>]\x20*)[a-z0-9])")
 _PLAIN_DOT = re.compile(r"(?i)(?<=[a-z0-9])\x20+dot\x20+(?=[a-z0-9])")
 # cheap tests on the lower-cased text; only texts that pass one are rewritten
 _MAY_SPELL = re.compile(rf"{_WORD}(?:[\x20,-]+{_WORD}){{{MIN_SPELLED - 1},}}")
@@ -154,7 +155,7 @@ TRANSDUCERS = (lookalike_edits, spelled_edits, at_dot_edits)
 
 
 def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that show only after the transducers; those that touch a base span of any kind are left out."""
+    """Spans that show only after the transducers; they may contain or overlap base spans, but equal none of their kind."""
     low = text.lower()
     if not (" dot " in low or _MAY_AT.search(low) or _MAY_SPELL.search(low)
             or not text.isascii() and _LOOK.search(text)):
@@ -162,14 +163,9 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     view = Mapped(text)
     for step in TRANSDUCERS:
         view = view.rewrite(step(view.text))
-    taken = sorted((a, b) for _, a, b in base)
-    found = []
-    for kind, a, b in base_spans(view.text):
-        start, end = view.starts[a], view.ends[b - 1]
-        if text[start:end] == view.text[a:b] or any(x < end and start < y for x, y in taken):
-            continue
-        found.append((kind, start, end))
-    return found
+    mapped = [(kind, view.starts[a], view.ends[b - 1]) for kind, a, b in base_spans(view.text)]
+    taken = set(base)
+    return [span for span in mapped if span not in taken]
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -225,6 +225,24 @@ def test_pii_disguises(text, kind, inside):
     assert pii.redact_text(text, spans) == text.replace(inside, f"<{kind}>")
 
 
+@pytest.mark.parametrize("whole,plain", [
+    ("jоhn.smith@example.com", "hn.smith@example.com"),
+    ("john dot smith@example.com", "smith@example.com"),
+    ("john@mail.example.cоm", "john@mail.example.c"),
+    ("１92.168.7.10", "92.168.7.10"),
+    ("john at example [dot] com", None),
+    ("john at mail(dot)example dot com", None),
+])
+def test_pii_disguise_in_part_of_an_identifier(whole, plain):
+    text = f"write: {whole}, or a@b.cc"
+    base, spans = pii.all_spans(text)
+    assert [text[a:b] for _, a, b in base if text[a:b] != "a@b.cc"] == ([plain] if plain else [])
+    assert set(base) <= set(spans) and len(spans) == len(base) + 1
+    assert whole in [text[a:b] for _, a, b in spans]
+    kind = "ip" if "168" in whole else "email"
+    assert pii.redact_text(text, spans) == f"write: <{kind}>, or <email>"
+
+
 def test_pii_leaves_prose_alone_and_long_texts():
     assert pii.all_spans("We met at noon. Look at one two dots, e.g. at home.") == ([], [])
     pii.all_spans("1" * 100000), pii.all_spans("a" * 100000 + "@"), pii.all_spans("one " * 30000)
