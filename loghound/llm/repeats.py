@@ -17,9 +17,6 @@ LENGTH = 100
 FIRST = 32
 #: Bytes that are ranked at once in a worker; longer texts go in overlapping pieces.
 BLOCK_BYTES = 1_500_000
-#: Rows that share a doc_id but not a text are parts of it, told apart by these bits of the text's hash.
-PART_BITS = 14
-OFFSET_BITS = 33
 #: Order of rows without doc_id: after all others.
 NO_ID = 2 ** 63 - 1
 
@@ -91,12 +88,8 @@ class Ranker:
         return piece[new], s - starts[piece[new]], windows, a - s, rank[a], whole
 
 
-def _pack(start, windows, anchor, part):
-    return ((part.astype(np.int64) << OFFSET_BITS | start) << 16) | windows << 8 | anchor
-
-
-def _start(at):
-    return (at >> 16) & (2 ** OFFSET_BITS - 1)
+def _pack(start, windows, anchor):
+    return start << 16 | windows << 8 | anchor
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -138,43 +131,44 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
                 doc = np.array([k[0] for k, _, _ in block], dtype=np.int64)[piece]
                 part = np.array([k[1] for k, _, _ in block], dtype=np.int64)[piece]
                 off = np.array([o for _, o, _ in block], dtype=np.int64)[piece]
-                rows.append((doc, _pack(s + off, windows, anchor, part), gram.view(np.int64), whole.view(np.int64)))
-            doc, at, gram, whole = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 4
+                rows.append((doc, part, _pack(s + off, windows, anchor), gram.view(np.int64), whole.view(np.int64)))
+            doc, part, at, gram, whole = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
             if not len(doc):
                 continue
-            order = np.lexsort((at, doc, whole, gram))
-            doc, at, gram, whole = doc[order], at[order], gram[order], whole[order]
+            order = np.lexsort((at, part, doc, whole, gram))
+            doc, part, at, gram, whole = (x[order] for x in (doc, part, at, gram, whole))
             same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (whole[1:] == whole[:-1])])
             head = np.nonzero(~same)[0][np.cumsum(~same) - 1]
-            again = same & ((doc != doc[head]) | (at != at[head]))  # a repeated row is not later than itself
+            again = same & ((doc != doc[head]) | (part != part[head]) | (at != at[head]))  # a repeated row is not later than itself
             # a settled row needs no meeting: it gets a key of its own
-            gram = np.where(again, doc * np.int64(1_000_003) ^ at, gram)
-            yield pd.DataFrame({"gram": gram, "whole": whole, "doc_id": doc, "at": at, "again": again})
+            gram = np.where(again, doc * np.int64(1_000_003) ^ part ^ at, gram)
+            yield pd.DataFrame({"gram": gram, "whole": whole, "doc_id": doc, "part": part, "at": at, "again": again})
 
-    rows = docs.mapInPandas(ranked, "gram long, whole long, doc_id long, at long, again boolean")
+    rows = docs.mapInPandas(ranked, "gram long, whole long, doc_id long, part long, at long, again boolean")
     by_gram = Window.partitionBy("gram")
-    in_order = Window.partitionBy("gram", "whole").orderBy("doc_id", "at")
-    seen = (rows.withColumn("d0", F.first("doc_id").over(in_order)).withColumn("a0", F.first("at").over(in_order))
+    in_order = Window.partitionBy("gram", "whole").orderBy("doc_id", "part", "at")
+    seen = (rows.withColumn("d0", F.first("doc_id").over(in_order)).withColumn("p0", F.first("part").over(in_order))
+            .withColumn("a0", F.first("at").over(in_order))
             .withColumn("w0", F.min("whole").over(by_gram)).withColumn("w1", F.max("whole").over(by_gram))
-            .withColumn("again", F.col("again") | (F.col("doc_id") != F.col("d0")) | (F.col("at") != F.col("a0")))
+            .withColumn("again", F.col("again") | (F.col("doc_id") != F.col("d0")) | (F.col("part") != F.col("p0"))
+                        | (F.col("at") != F.col("a0")))
             .where("again or w0 < w1"))
-    seen = stage(seen.select("doc_id", "at", "again"))
-    start = F.shiftright("at", 16).bitwiseAND(F.lit(2 ** OFFSET_BITS - 1))
-    part = F.shiftright("at", 16 + OFFSET_BITS)
+    seen = stage(seen.select("doc_id", "part", "at", "again"))
+    start = F.shiftright("at", 16)
     windows = F.shiftright("at", 8).bitwiseAND(F.lit(255))
-    whole_spans = seen.where("again").select("doc_id", part.alias("part"), start.alias("start"),
+    whole_spans = seen.where("again").select("doc_id", "part", start.alias("start"),
                                              (start + windows - 1 + length).alias("end"))
 
-    open_ = (seen.where("not again").withColumn("part", part).groupBy("doc_id", "part")
+    open_ = (seen.where("not again").groupBy("doc_id", "part")
              .agg(F.collect_set("at").alias("ats")))
 
     def window_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranker = Ranker(length, first)
         for pdf in batches:
             out = []
-            for doc, data, ats in zip(pdf["doc_id"], pdf["data"], pdf["ats"]):
+            for doc, part, data, ats in zip(pdf["doc_id"], pdf["part"], pdf["data"], pdf["ats"]):
                 at = np.sort(np.array(ats, dtype=np.int64))
-                s, n, anchor = _start(at), (at >> 8) & 255, at & 255
+                s, n, anchor = at >> 16, (at >> 8) & 255, at & 255
                 for a in range(0, max(1, len(data) - length + 1), BLOCK_BYTES):
                     piece = np.frombuffer(data[a:a + BLOCK_BYTES + length - 1], dtype=np.uint8)
                     here = (s >= a) & (s < a + BLOCK_BYTES)
@@ -184,17 +178,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
                     for x, y, z, packed in zip(s[here] - a, n[here], anchor[here], at[here].tolist()):
                         p = np.arange(x, x + y)
                         gram = r.of(np.array([x + z]), np.array([x + z + first])).view(np.int64)[0]
-                        out.append((gram, doc, packed, r.of(p, p + length).tobytes()))
-            yield pd.DataFrame(out, columns=["gram", "doc_id", "at", "ranks"])
+                        out.append((gram, doc, part, packed, r.of(p, p + length).tobytes()))
+            yield pd.DataFrame(out, columns=["gram", "doc_id", "part", "at", "ranks"])
 
     asked = (docs.join(open_, ["doc_id", "part"]).dropDuplicates(["doc_id", "part"])
-             .mapInPandas(window_ranks, "gram long, doc_id long, at long, ranks binary"))
+             .mapInPandas(window_ranks, "gram long, doc_id long, part long, at long, ranks binary"))
 
     def settle(pdf_rows: list) -> pd.DataFrame:
         gram = np.array([x[0] for x in pdf_rows], dtype=np.int64)
         doc = np.array([x[1] for x in pdf_rows], dtype=np.int64)
-        at = np.array([x[2] for x in pdf_rows], dtype=np.int64)
-        ranks = [np.frombuffer(x[3], dtype=np.uint64) for x in pdf_rows]
+        part = np.array([x[2] for x in pdf_rows], dtype=np.int64)
+        at = np.array([x[3] for x in pdf_rows], dtype=np.int64)
+        ranks = [np.frombuffer(x[4], dtype=np.uint64) for x in pdf_rows]
         n = np.array([len(x) for x in ranks])
         row = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -202,26 +197,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
         offset = (at & 255)[row] - k
         # positions in the order of the corpus: by document, then place
         place = (at >> 16)[row] + k
-        order = np.lexsort((place, doc[row], rank, offset, gram[row]))
-        g, o, h, d, p = gram[row][order], offset[order], rank[order], doc[row][order], place[order]
+        order = np.lexsort((place, part[row], doc[row], rank, offset, gram[row]))
+        g, o, h, d, t, p = (x[order] for x in (gram[row], offset, rank, doc[row], part[row], place))
         head = np.concatenate([[True], (g[1:] != g[:-1]) | (o[1:] != o[:-1]) | (h[1:] != h[:-1])])
         at_head = np.nonzero(head)[0][np.cumsum(head) - 1]
-        later = (d != d[at_head]) | (p != p[at_head])
-        d, p = d[later], p[later]
-        order = np.lexsort((p, d))
-        d, p = d[order], p[order]
+        later = (d != d[at_head]) | (t != t[at_head]) | (p != p[at_head])
+        d, t, p = d[later], t[later], p[later]
+        order = np.lexsort((p, t, d))
+        d, t, p = d[order], t[order], p[order]
         if not len(d):
             return pd.DataFrame({"doc_id": [], "part": [], "start": [], "end": []}).astype("int64")
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)])
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)])
         first_, last = np.nonzero(new)[0], np.append(np.nonzero(new)[0][1:], len(d)) - 1
-        mask = 2 ** OFFSET_BITS - 1
-        return pd.DataFrame({"doc_id": d[first_], "part": p[first_] >> OFFSET_BITS, "start": p[first_] & mask,
-                             "end": (p[last] & mask) + length})
+        return pd.DataFrame({"doc_id": d[first_], "part": t[first_], "start": p[first_], "end": p[last] + length})
 
     def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []  # rows of the last rank, which may go on in the next batch
         for pdf in batches:
-            held += list(zip(pdf["gram"], pdf["doc_id"], pdf["at"], pdf["ranks"]))
+            held += list(zip(pdf["gram"], pdf["doc_id"], pdf["part"], pdf["at"], pdf["ranks"]))
             last = held[-1][0] if held else None
             cut = len(held)
             while cut and held[cut - 1][0] == last:
@@ -239,11 +232,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, part, data): the UTF-8 bytes of each text; null texts are empty, null ids NO_ID."""
+    """(doc_id, part, data): the UTF-8 bytes of each text; null texts are empty, null ids NO_ID.
+
+    Rows that share a doc_id but not a text are parts of it, told apart by the 64-bit hash of the text.
+    """
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    part = F.shiftrightunsigned(F.xxhash64(data), 64 - PART_BITS)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-                       part.cast("long").alias("part"), data.alias("data"))
+                       F.xxhash64(data).alias("part"), data.alias("data"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:

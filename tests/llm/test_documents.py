@@ -141,6 +141,21 @@ def test_repeats(corpus):
     assert sum(r.n_removed for r in got) > 1000
 
 
+def test_repeats_of_many_texts_without_id(docs_of):
+    rng = random.Random(11)
+    shared = prose(rng, 40)
+    assert len(shared) > 100
+    rows = [(None, prose(rng, 40), None) for _ in range(600)]
+    rows += [(None, prose(rng, 10) + shared + prose(rng, 10), None) for _ in range(200)]
+    got = [(r.n_bytes, bytes(r.kept)) for r in repeats.remove_repeats(docs_of(rows)).collect()]
+    whole = [k for n, k in got if n == len(k)]
+    assert len(got) == 800 and len(whole) == 601  # of the texts that share a passage the first keeps it
+    assert {t.encode() for _, t, _ in rows[:600]} <= set(whole)
+    brief = sorted(t.encode().replace(shared.encode(), b"") for _, t, _ in rows[600:])
+    cut = [k for n, k in got if n > len(k)]
+    assert len(cut) == 199 and all(any(b.startswith(k[:20]) and len(k) <= len(b) for b in brief) for k in cut)
+
+
 def test_long_text_in_pieces(spark, docs_of, monkeypatch):
     rng = random.Random(9)
     a, b = prose(rng, 3000), prose(rng, 300)
