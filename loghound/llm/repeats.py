@@ -41,6 +41,9 @@ class Ranker:
 
     def __init__(self, length: int = LENGTH, first: int = FIRST):
         self.length, self.first = length, first
+        #: A window with its anchor beyond this offset holds as many bytes before the anchor, others
+        #: hold ``length - reach`` bytes from the anchor on.
+        self.reach = (length - first) // 2
         self.values = byte_values()
         self.up = self.down = np.zeros(0, dtype=np.uint64)
 
@@ -49,9 +52,15 @@ class Ranker:
             self.up, self.down = powers(len(data))
         return Rolling(data, self.values, self.up, self.down)
 
+    def grams(self, r: Rolling, anchor: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        before = offset > self.reach
+        return r.of(np.where(before, anchor - self.reach, anchor),
+                    np.where(before, anchor + self.first, anchor + self.length - self.reach))
+
     def anchors(self, block) -> tuple[np.ndarray, ...]:
-        """For each run of windows with the same anchor: piece, start, windows, anchor offset, rank of
-        the ``first`` bytes at the anchor, rank of all bytes that the run's windows cover.
+        """For each run of windows with the same anchor and side: piece, start, windows, anchor offset,
+        gram (rank of the bytes about the anchor that every window of that side holds), rank of all
+        bytes that the run's windows cover.
 
         The anchor of a window is the place in it whose first rank is least,
         so equal windows have equal anchors, wherever they stand.
@@ -80,12 +89,13 @@ class Ranker:
         if not len(p):
             return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
         a = anchor[p]
-        new = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (piece[1:] != piece[:-1])]))[0]
+        side = a - p > self.reach
+        new = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (side[1:] != side[:-1]) | (piece[1:] != piece[:-1])]))[0]
         windows = np.diff(np.append(new, len(p)))
         s, a = p[new], a[new]
         shape = ((a - s) << 8 | windows).astype(np.uint64)
         whole = r.of(s, s + windows - 1 + length) ^ (shape * np.uint64(0x9E3779B97F4A7C15))
-        return piece[new], s - starts[piece[new]], windows, a - s, rank[a], whole
+        return piece[new], s - starts[piece[new]], windows, a - s, self.grams(r, a, a - s), whole
 
 
 def _pack(start, windows, anchor):
@@ -108,13 +118,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
     Prefix doubling over the places that decide: every window of ``length``
     bytes is represented by its anchor, so about 2 / (length - first) of all
     places are ranked.
-    1. Rank of the first bytes at each anchor; Spark sorts (rank, rank of the
-       longer range) pairs.  A rank that is unique ends there.
+    1. Rank of the bytes about each anchor that all its windows of one side
+       hold (66 for 100); Spark sorts (rank, rank of the longer range) pairs.
+       A rank that is unique ends there.
     2. Where the longer range (all windows of the anchor, at least ``length``
        bytes) has an equal one earlier, all its bytes are repeated.
-    3. Where only the first rank repeats, the ranks of each single window at
-       the same offset of the anchor are compared in a last round.
-    Copies inside one Arrow batch are settled before the shuffle, so a passage
+    3. Where only the first rank repeats, the ranks of each single window are
+       compared in a last round, a row for each (rank of the first bytes, rank
+       of the window).  No task holds all rows of a first rank.
+    Copies inside one Arrow batch are settled before either shuffle, so a passage
     that a third of all documents hold is one row per batch.
 
     Returns doc_id (NO_ID for null), part, start, end; spans may overlap.
@@ -145,100 +157,91 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
             yield pd.DataFrame({"gram": gram, "whole": whole, "doc_id": doc, "part": part, "at": at, "again": again})
 
     rows = docs.mapInPandas(ranked, "gram long, whole long, doc_id long, part long, at long, again boolean")
-    by_gram = Window.partitionBy("gram")
     in_order = Window.partitionBy("gram", "whole").orderBy("doc_id", "part", "at")
-    seen = (rows.withColumn("d0", F.first("doc_id").over(in_order)).withColumn("p0", F.first("part").over(in_order))
-            .withColumn("a0", F.first("at").over(in_order))
-            .withColumn("w0", F.min("whole").over(by_gram)).withColumn("w1", F.max("whole").over(by_gram))
-            .withColumn("again", F.col("again") | (F.col("doc_id") != F.col("d0")) | (F.col("part") != F.col("p0"))
-                        | (F.col("at") != F.col("a0")))
-            .where("again or w0 < w1"))
-    seen = stage(seen.select("doc_id", "part", "at", "again"))
+    first_place = [F.first(c).over(in_order).alias(f"{c}_0") for c in ("doc_id", "part", "at")]
+    moved = (F.col("doc_id") != F.col("doc_id_0")) | (F.col("part") != F.col("part_0")) | (F.col("at") != F.col("at_0"))
+    again = F.col("again") | moved
+    # one row of each pair is left besides the repeated ones
+    seen = stage(rows.select("*", *first_place, F.row_number().over(in_order).alias("nth")).withColumn("again", again)
+                 .where("again or nth = 1")
+                 .select(F.expr("if(again, null, gram)").alias("gram"), "doc_id", "part", "at", "again"))
     start = F.shiftright("at", 16)
     windows = F.shiftright("at", 8).bitwiseAND(F.lit(255))
     whole_spans = seen.where("again").select("doc_id", "part", start.alias("start"),
                                              (start + windows - 1 + length).alias("end"))
 
-    open_ = (seen.where("not again").groupBy("doc_id", "part")
-             .agg(F.collect_set("at").alias("ats")))
+    # a gram may stand in most documents: its pairs are counted map-side and joined, never held in one task
+    pairs = seen.where("not again")
+    shared = stage(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    open_ = stage(pairs.join(shared, "gram").groupBy("doc_id", "part").agg(F.collect_set("at").alias("ats")))
 
     def window_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranker = Ranker(length, first)
         for pdf in batches:
-            out = []
+            held, size = [], 0
             for doc, part, data, ats in zip(pdf["doc_id"], pdf["part"], pdf["data"], pdf["ats"]):
                 at = np.sort(np.array(ats, dtype=np.int64))
                 s, n, anchor = at >> 16, (at >> 8) & 255, at & 255
                 for a in range(0, max(1, len(data) - length + 1), BLOCK_BYTES):
-                    piece = np.frombuffer(data[a:a + BLOCK_BYTES + length - 1], dtype=np.uint8)
                     here = (s >= a) & (s < a + BLOCK_BYTES)
                     if not here.any():
                         continue
-                    r = ranker.rolling(piece)
-                    for x, y, z, packed in zip(s[here] - a, n[here], anchor[here], at[here].tolist()):
-                        p = np.arange(x, x + y)
-                        gram = r.of(np.array([x + z]), np.array([x + z + first])).view(np.int64)[0]
-                        out.append((gram, doc, part, packed, r.of(p, p + length).tobytes()))
-            yield pd.DataFrame(out, columns=["gram", "doc_id", "part", "at", "ranks"])
+                    r = ranker.rolling(np.frombuffer(data[a:a + BLOCK_BYTES + length - 1], dtype=np.uint8))
+                    x, y, z = s[here] - a, n[here], (s + anchor)[here] - a
+                    p = np.repeat(x, y) + np.arange(y.sum()) - np.repeat(np.cumsum(y) - y, y)
+                    gram = np.repeat(ranker.grams(r, z, anchor[here]), y)
+                    held.append((gram.view(np.int64), r.of(p, p + length).view(np.int64),
+                                 np.full(len(p), doc), np.full(len(p), part), p + a))
+                    size += len(p)
+                    if size >= BLOCK_BYTES:
+                        yield settle(held)
+                        held, size = [], 0
+            if held:
+                yield settle(held)
+
+    def settle(held: list) -> pd.DataFrame:
+        gram, rank, doc, part, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, part, doc, rank, gram))
+        gram, rank, doc, part, at = (x[order] for x in (gram, rank, doc, part, at))
+        same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (rank[1:] == rank[:-1])])
+        head = np.nonzero(~same)[0][np.cumsum(~same) - 1]
+        again = same & ((doc != doc[head]) | (part != part[head]) | (at != at[head]))
+        gram = np.where(again, doc * np.int64(1_000_003) ^ part ^ at, gram)
+        return pd.DataFrame({"gram": gram, "rank": rank, "doc_id": doc, "part": part, "at": at, "again": again})
 
     asked = (docs.join(open_, ["doc_id", "part"]).dropDuplicates(["doc_id", "part"])
-             .mapInPandas(window_ranks, "gram long, doc_id long, part long, at long, ranks binary"))
-
-    def settle(pdf_rows: list) -> pd.DataFrame:
-        gram = np.array([x[0] for x in pdf_rows], dtype=np.int64)
-        doc = np.array([x[1] for x in pdf_rows], dtype=np.int64)
-        part = np.array([x[2] for x in pdf_rows], dtype=np.int64)
-        at = np.array([x[3] for x in pdf_rows], dtype=np.int64)
-        ranks = [np.frombuffer(x[4], dtype=np.uint64) for x in pdf_rows]
-        n = np.array([len(x) for x in ranks])
-        row = np.repeat(np.arange(len(n)), n)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        rank = np.concatenate(ranks)
-        offset = (at & 255)[row] - k
-        # positions in the order of the corpus: by document, then place
-        place = (at >> 16)[row] + k
-        order = np.lexsort((place, part[row], doc[row], rank, offset, gram[row]))
-        g, o, h, d, t, p = (x[order] for x in (gram[row], offset, rank, doc[row], part[row], place))
-        head = np.concatenate([[True], (g[1:] != g[:-1]) | (o[1:] != o[:-1]) | (h[1:] != h[:-1])])
-        at_head = np.nonzero(head)[0][np.cumsum(head) - 1]
-        later = (d != d[at_head]) | (t != t[at_head]) | (p != p[at_head])
-        d, t, p = d[later], t[later], p[later]
-        order = np.lexsort((p, t, d))
-        d, t, p = d[order], t[order], p[order]
-        if not len(d):
-            return pd.DataFrame({"doc_id": [], "part": [], "start": [], "end": []}).astype("int64")
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)])
-        first_, last = np.nonzero(new)[0], np.append(np.nonzero(new)[0][1:], len(d)) - 1
-        return pd.DataFrame({"doc_id": d[first_], "part": t[first_], "start": p[first_], "end": p[last] + length})
-
-    def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = []  # rows of the last rank, which may go on in the next batch
+             .mapInPandas(window_ranks, "gram long, rank long, doc_id long, part long, at long, again boolean"))
+    in_order = Window.partitionBy("gram", "rank").orderBy("doc_id", "part", "at")
+    first_place = [F.first(c).over(in_order).alias(f"{c}_0") for c in ("doc_id", "part", "at")]
+    later = asked.select("*", *first_place).where(again).select("doc_id", "part", F.col("at").alias("start"))
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held += list(zip(pdf["gram"], pdf["doc_id"], pdf["part"], pdf["at"], pdf["ranks"]))
-            last = held[-1][0] if held else None
-            cut = len(held)
-            while cut and held[cut - 1][0] == last:
-                cut -= 1
-            if cut:
-                yield settle(held[:cut])
-                held = held[cut:]
-        if held:
-            yield settle(held)
+            if not len(pdf):
+                continue
+            doc, part, p = (pdf[c].to_numpy() for c in ("doc_id", "part", "start"))
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (p[1:] > p[:-1] + 1)])
+            first_, last = np.nonzero(new)[0], np.append(np.nonzero(new)[0][1:], len(p)) - 1
+            yield pd.DataFrame({"doc_id": doc[first_], "part": part[first_], "start": p[first_], "end": p[last] + length})
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    window_spans = stage(asked.repartition(n, "gram").sortWithinPartitions("gram")
-                         .mapInPandas(settled, "doc_id long, part long, start long, end long"))
+    window_spans = stage(later.repartition(n, "doc_id", "part").sortWithinPartitions("doc_id", "part", "start")
+                         .mapInPandas(runs, "doc_id long, part long, start long, end long"))
     return whole_spans.union(window_spans)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, part, data): the UTF-8 bytes of each text; null texts are empty, null ids NO_ID.
 
-    Rows that share a doc_id but not a text are parts of it, told apart by the 64-bit hash of the text.
+    Rows that share a doc_id but not a text are parts of it, told apart by the
+    64-bit hash of the text; a doc_id with one text has the one part 0.
     """
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-                       F.xxhash64(data).alias("part"), data.alias("data"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+                       F.xxhash64(data).alias("hash"), data.alias("data"))
+    several = stage(rows.groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+                    .where("low < high").select("doc_id", F.lit(True).alias("several")))
+    return rows.join(several, "doc_id", "left").select("doc_id", F.expr("if(several, hash, 0L)").alias("part"), "data")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:

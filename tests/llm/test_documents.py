@@ -156,6 +156,23 @@ def test_repeats_of_many_texts_without_id(docs_of):
     assert len(cut) == 199 and all(any(b.startswith(k[:20]) and len(k) <= len(b) for b in brief) for k in cut)
 
 
+def test_repeats_hold_no_gram_in_one_task(spark, docs_of):
+    rng = random.Random(12)
+    line = "a line of sixty bytes that stands in every one of the texts."
+    rows = [(i, prose(rng, 30) + line + prose(rng, 30), None) for i in range(300)]
+    spans = repeats.repeated_spans(repeats.keyed(docs_of(rows)))
+    assert spans.count() == 0
+    keys = set()
+    stage = repeats.stage
+    try:
+        repeats.stage = lambda df: keys.add(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df)
+        repeats.repeated_spans(repeats.keyed(docs_of(rows)))
+    finally:
+        repeats.stage = stage
+    plans = "\n".join(keys)
+    assert not re.search(r"windowspecdefinition\(gram#\d+L?, specified|RepartitionByExpression \[gram#\d+L?\]", plans)
+
+
 def test_long_text_in_pieces(spark, docs_of, monkeypatch):
     rng = random.Random(9)
     a, b = prose(rng, 3000), prose(rng, 300)
