@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loghound.llm.common import empty_if_null, prepare, table
 
-#: Turns that are rendered as one prefix series; the template reads no further back than one turn.
+#: Turns that are rendered as one prefix series if the template declares its look-back.
 SEGMENT_TURNS = 16
 PROBE = "\ue000"
 TRAINED_ROLE = "assistant"
@@ -35,6 +35,10 @@ def turn_template(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|turn|>{escape(role)}<|says|>{escape(text)}<|end|>\n" for role, text in turns)
 
 
+#: The earlier turns that a turn's form may depend on; a template without this is rendered from the first turn on.
+turn_template.look_back = 0
+
+
 _TURN = re.compile(r"<\|turn\|>(.*?)<\|says\|>(.*?)<\|end\|>\n", re.S)
 
 
@@ -51,8 +55,8 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def render_series(turns: list[tuple[str, str]], template: Template) -> list[dict]:
-    """Render each prefix of ``turns`` and locate every turn by comparing consecutive outputs.
+class PrefixSeries:
+    """Renders each prefix of a conversation and locates every turn by comparing consecutive outputs.
 
     The template is a black box.  The output of a prefix without the end that
     all its outputs share (for example a closing mark) must start the next
@@ -60,24 +64,41 @@ def render_series(turns: list[tuple[str, str]], template: Template) -> list[dict
     is counted from where the two outputs part.  The text inside a piece is
     found by rendering the prefix with a private character as the last text.
 
-    Returns for each turn: piece, text_start, text_end (offsets in the piece,
-    -1 if the template does not show the text), rewrites.
+    Only the turns and the last output are held.  With ``look_back``, after
+    each ``segment_turns`` turns only that many earlier turns, and one at
+    least, are kept, so that no later turn is rendered as a first one.
     """
-    empty = template([])
-    out, before = [], empty
-    for k in range(1, len(turns) + 1):
-        now = template(turns[:k])
+
+    def __init__(self, template: Template, look_back: int | None = None, segment_turns: int = SEGMENT_TURNS):
+        self.template, self.turns = template, []
+        self.empty = self.before = template([])
+        self.keep = None if look_back is None else max(1, look_back)
+        self.limit = segment_turns
+
+    def add(self, role: str, text: str) -> dict:
+        """piece, text_start, text_end (offsets in the piece, -1 if the template does not show the text), rewrites."""
+        if self.keep is not None and len(self.turns) >= max(self.limit, self.keep + 1):
+            self.turns = self.turns[-self.keep:]
+            self.before = self.template(list(self.turns))
+        self.turns.append((role, text))
+        before, empty = self.before, self.empty
+        now = self.template(list(self.turns))
         tail = len(os.path.commonprefix([before[::-1], now[::-1], empty[::-1]])) if empty else 0
         kept = before[:len(before) - tail]
         rewrites = not now.startswith(kept)
         start = len(os.path.commonprefix([kept, now])) if rewrites else len(kept)
         piece = now[start:len(now) - tail]
-        probe = template(turns[:k - 1] + [(turns[k - 1][0], PROBE)])[start:]
+        probe = self.template(self.turns[:-1] + [(role, PROBE)])[start:]
         at = probe.find(PROBE)
         end = len(now) - start - (len(probe) - at - 1) if at >= 0 else -1
-        out.append({"piece": piece, "text_start": at if at >= 0 else -1, "text_end": end, "rewrites": rewrites})
-        before = now
-    return out
+        self.before = now
+        return {"piece": piece, "text_start": at if at >= 0 else -1, "text_end": end, "rewrites": rewrites}
+
+
+def render_series(turns: list[tuple[str, str]], template: Template) -> list[dict]:
+    """For each turn what :meth:`PrefixSeries.add` returns."""
+    series = PrefixSeries(template)
+    return [series.add(role, text) for role, text in turns]
 
 
 def format_turns(conversations: DataFrame, template: Template = turn_template,
@@ -85,9 +106,12 @@ def format_turns(conversations: DataFrame, template: Template = turn_template,
     """Every turn of every conversation as it stands in the formatted text.
 
     Needs conv_id, turn, role, text.  Rows are dealt by conv_id and sorted; a
-    task streams over its conversations and holds one segment of
-    ``segment_turns`` turns at a time, so a conversation of any length takes
-    bounded memory.  A segment is rendered as successive prefixes.
+    task streams over its conversations and renders the successive prefixes of
+    each from its first turn on: the time grows with the square of its turns.
+    Only for a template that declares, as its attribute ``look_back``, how many
+    earlier turns the form of a turn depends on (besides whether there is one),
+    it goes on from those after each ``segment_turns`` turns, and a
+    conversation of any length takes bounded memory.
 
     Cases: a null text or role is empty; turns tie by role, then text; a null
     turn comes first; rows without conv_id are one conversation; repeated rows
@@ -96,32 +120,21 @@ def format_turns(conversations: DataFrame, template: Template = turn_template,
     Returns conv_id, pos, role, text (as read back), piece, text_start,
     text_end, rewrites, in order within each partition.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[str, str]] = []
-        conv, pos, rows = None, 0, []
-
-        def flush():
-            nonlocal pos
-            for r in render_series(held, template):
-                rows.append((conv, pos, r["piece"], r["text_start"], r["text_end"], r["rewrites"]))
-                pos += 1
-            held.clear()
+    look_back = getattr(template, "look_back", None)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, conv, pos, rows = None, None, 0, []
         columns = ["conv_id", "pos", "piece", "text_start", "text_end", "rewrites"]
         for pdf in batches:
             for c, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"]):
                 if c != conv:
-                    flush()
-                    conv, pos = c, 0
-                elif len(held) >= segment_turns:
-                    flush()
-                held.append((role, text))
+                    series, conv, pos = PrefixSeries(template, look_back, segment_turns), c, 0
+                r = series.add(role, text)
+                rows.append((conv, pos, r["piece"], r["text_start"], r["text_end"], r["rewrites"]))
+                pos += 1
             if rows:
                 yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "object"})
                 rows.clear()
-        flush()
-        if rows:
-            yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "object"})
 
     n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = conversations.select(

@@ -322,6 +322,26 @@ def test_chat_sees_rewritten_history():
     assert not any(s["rewrites"] for s in series)
 
 
+def test_chat_long_conversations_with_memory(spark):
+    def counting(turns):  # a first-turn rule and a turn counter
+        return "".join(f"{'first ' if i == 0 else ''}{i}[{r}]{x};" for i, (r, x) in enumerate(turns))
+
+    def rewriting(turns):  # the twentieth turn changes the form of the first
+        return "".join(f"[{r}]{'?' if i == 0 and len(turns) > 19 else x};" for i, (r, x) in enumerate(turns))
+
+    def no_first(turns):
+        return "".join(f"{'first ' if i == 0 else ''}[{r}]{x};" for i, (r, x) in enumerate(turns))
+    no_first.look_back = 0
+    turns = [("user" if t % 2 == 0 else "assistant", f"text {t}") for t in range(50)]
+    df = spark.createDataFrame([("c", t, r, x) for t, (r, x) in enumerate(turns)], "conv_id string, turn long, role string, text string")
+    for template, rewrites in ((counting, []), (rewriting, [19]), (no_first, [])):
+        got = chat.format_turns(df, template).orderBy("pos").collect()
+        assert [r.pos for r in got if r.rewrites] == rewrites
+        if not rewrites:
+            assert "".join(r.piece for r in got) == template(turns)
+            assert [r.piece[r.text_start:r.text_end] for r in got] == [x for _, x in turns]
+
+
 def test_classifiers_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
