@@ -257,10 +257,10 @@ def op11_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
-         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
          list_inner_product(a.v, b.v)::BIGINT AS score
