@@ -22,13 +22,18 @@ def url_decode_once(c: Column) -> Column:
 def decode_levels(c: Column) -> Column:
     """``array(raw, decode^1, decode^2, ...)``, decoded until nothing
     changes, with equal neighbours removed.  A pass shortens the text by two
-    characters at least, which bounds the passes; a pass over a text without
-    ``%hh`` costs one search."""
-    passes = F.when(c.rlike("%[0-9A-Fa-f]{2}"), F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(c) / 2).cast("int")))
+    characters at least, which bounds the passes."""
+    encoded = "%[0-9A-Fa-f]{2}"
+    passes = F.when(c.rlike(encoded), F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(c) / 2).cast("int")))
                     ).otherwise(F.array().cast("array<int>"))
 
-    def step(levels, _):
-        last = F.element_at(levels, -1)
-        return F.when(last.rlike("%[0-9A-Fa-f]{2}"), F.array_append(levels, url_decode_once(last))).otherwise(levels)
+    def step(state, _):
+        return F.when(state["last"].isNull(), state).otherwise(advance(state["levels"], url_decode_once(state["last"])))
 
-    return F.array_distinct(F.aggregate(passes, F.array(c), step))
+    def advance(levels, text):
+        # a text without %hh ends the work: the passes that are left look at a null only
+        return F.struct(F.array_append(levels, text).alias("levels"),
+                        F.when(text.rlike(encoded), text).alias("last"))
+
+    start = F.struct(F.array(c).alias("levels"), c.alias("last"))
+    return F.array_distinct(F.aggregate(passes, start, step, lambda state: state["levels"]))

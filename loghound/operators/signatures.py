@@ -17,6 +17,8 @@ alternations on the request text and its decoding levels.
 from __future__ import annotations
 
 from functools import reduce
+from re._constants import LITERAL
+from re._parser import parse as parse_regex
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,40 @@ def _alternation(patterns) -> str:
     return "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
 
+def _longest_literal(pattern: str) -> str | None:
+    """The longest text that every match of a regular expression contains, or None."""
+    best, run = "", ""
+    for op, arg in parse_regex(pattern):
+        if op is LITERAL:
+            run += chr(arg)
+            continue
+        best, run = max(best, run, key=len), ""
+    return max(best, run, key=len) or None
+
+
+def required_literals(patterns) -> list[str] | None:
+    """Texts of which at least one stands in whatever one of the patterns matches.
+
+    A text that contains another one of the list is left out, as the shorter
+    one is found wherever it is.  None if some pattern needs no literal.
+    """
+    found = {_longest_literal(p) for p in patterns}
+    if None in found:
+        return None
+    kept: list[str] = []
+    for text in sorted(found, key=lambda t: (len(t), t)):
+        if not any(k in text for k in kept):
+            kept.append(text)
+    return kept
+
+
+def gated_match(text: Column, patterns) -> Column:
+    """Does one of the patterns match?  The alternation runs only on texts that hold a required literal."""
+    literals = required_literals(patterns)
+    test = text.rlike(_alternation(patterns))
+    return test if literals is None else _any_in(text, literals) & test
+
+
 def shell_profile_hits(requests: DataFrame, detailed: bool) -> DataFrame:
     """``sql_rx`` / ``trv_rx`` booleans on the lower-cased request.
 
@@ -57,16 +93,15 @@ def shell_profile_hits(requests: DataFrame, detailed: bool) -> DataFrame:
     requests = requests.withColumn("_error", F.col("log_type").isin("error_log", "nginx_error_log"))
     req = F.lower(F.coalesce(F.col("request"), F.col("url"), F.lit("")))
     if detailed:
-        sql_rx = _alternation(SQL_REGEX_DETAILED + SQL_REGEX_EXTRA)
-        trv_rx = _alternation(TRAVERSAL_REGEX_DETAILED + TRAVERSAL_REGEX_EXTRA)
+        sql_rx = SQL_REGEX_DETAILED + SQL_REGEX_EXTRA
+        trv_rx = TRAVERSAL_REGEX_DETAILED + TRAVERSAL_REGEX_EXTRA
         df = requests.withColumn("_levels", decode_levels(req))
         df = df.withColumn("_levels", F.transform("_levels", lambda x: F.lower(x)))
     else:
-        sql_rx = _alternation(SQL_REGEX_FAST)
-        trv_rx = _alternation(TRAVERSAL_REGEX_FAST)
+        sql_rx, trv_rx = SQL_REGEX_FAST, TRAVERSAL_REGEX_FAST
         df = requests.withColumn("_levels", F.array_distinct(F.array(req, F.lower(url_decode_once(req)))))
-    return (df.withColumn("sql_rx", ~F.col("_error") & F.exists("_levels", lambda x: x.rlike(sql_rx)))
-            .withColumn("trv_rx", ~F.col("_error") & F.exists("_levels", lambda x: x.rlike(trv_rx)))
+    return (df.withColumn("sql_rx", ~F.col("_error") & F.exists("_levels", lambda x: gated_match(x, sql_rx)))
+            .withColumn("trv_rx", ~F.col("_error") & F.exists("_levels", lambda x: gated_match(x, trv_rx)))
             .drop("_levels", "_error"))
 
 

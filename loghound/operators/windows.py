@@ -59,6 +59,18 @@ def order_key() -> Column:
     return F.struct(F.coalesce(F.col("ts_s"), F.lit(0)).alias("t"), F.col("ord").alias("o"))
 
 
+def packed_order(sub: bool = False) -> Column:
+    """``(ts_s, ord, seq[, sub])`` as one number of the same order.
+
+    Least and greatest of it are hash aggregates, which those of a struct are
+    not.  ``ord`` has 63 bits, ``seq`` two and ``sub`` four digits.
+    """
+    small = "seq * 10000" + (" + sub" if sub else "")
+    return F.expr(f"cast(coalesce(ts_s, 0) as decimal(12,0)) * cast(10000000000000000000000000 as decimal(26,0))"
+                  f" + cast(ord as decimal(19,0)) * cast(1000000 as decimal(7,0)) + cast({small} as decimal(7,0))"
+                  ).cast("decimal(38,0)")
+
+
 def sliding_counts(events: DataFrame, keys: list[str], width: int = SLIDING_WINDOW_SECONDS,
                    bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Per ``(keys, sec)``: ``n`` events at ``sec`` and ``prev`` events in

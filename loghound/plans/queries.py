@@ -15,7 +15,7 @@ from ..functions.net import ip_class, ip_to_long
 from ..functions.priority import priority_label
 from ..operators import windows as win
 from ..operators.parse import requests_only
-from . import core, inputs
+from . import core, inputs, shell_queries
 from .materialize import materialize
 from . import oracle as O
 
@@ -196,6 +196,7 @@ QUERIES = {
     "shell_error_rules": q_shell_error_rules,
     "shell_4xx": q_shell_4xx,
     "dominant_4xx": q_dominant_4xx,
+    **shell_queries.QUERIES,
 }
 
 
@@ -324,6 +325,7 @@ def oracle_sql() -> dict[str, str]:
         "shell_error_rules": W(_shell_error_sql(), ("base",)),
         "shell_4xx": W(_shell_4xx_sql(), ("base",)),
         "dominant_4xx": W(_dominant_4xx_sql(), ("base",)),
+        **shell_queries.oracle_sql(),
         "ip_classes": W("""SELECT DISTINCT ip,
             CASE WHEN split_part(ip, '.', 1) = '10' OR (split_part(ip, '.', 1) = '192' AND split_part(ip, '.', 2) = '168')
                    OR (split_part(ip, '.', 1) = '172' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31)
