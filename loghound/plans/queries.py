@@ -174,7 +174,43 @@ def q_dominant_4xx(spark, sf_dir):
     return d.select("ip", *_big("total", "kinds", "dominant"), "reason")
 
 
+def _client_addresses(spark, sf_dir):
+    """Addresses of several kinds, one per event."""
+    uid, kind = F.col("user_id"), F.col("event_id") % 6
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.when(kind == 0, F.concat(F.lit("10.0.0."), (uid % 256).cast("string")))
+        .when(kind == 1, F.concat(F.lit("203.0.113."), (uid % 320).cast("string")))
+        .when(kind == 2, F.concat(F.lit("2001:db8::"), F.lower(F.hex(uid % 1000))))
+        .when(kind == 3, F.concat(F.lit("198.51."), (uid % 256).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string")))
+        .when(kind == 4, F.lit("unknown"))
+        .otherwise(F.concat(F.lit("192.0.2."), (uid % 256).cast("string"))).alias("ip"))
+
+
+def _nation_blocks(spark, sf_dir):
+    """Address blocks of the nations: nested and overlapping ones, of both families."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("k"))
+
+    def block(start, end):
+        return n.select(F.concat(*start).alias("start_ip"), F.concat(*end).alias("end_ip"), F.col("k").cast("string").alias("code"))
+
+    def text(c):
+        return c.cast("string")
+
+    k = F.col("k")
+    return (block([F.lit("203.0.113."), text(k * 10)], [F.lit("203.0.113."), text(F.least(k * 10 + 14, F.lit(255)))])
+            .unionByName(block([F.lit("198.51."), text(k * 8), F.lit(".0")], [F.lit("198.51."), text(k * 8 + 30), F.lit(".255")]))
+            .unionByName(block([F.lit("2001:db8::"), F.lower(F.hex(k * 32))], [F.lit("2001:db8::"), F.lower(F.hex(k * 32 + 40))])))
+
+
+def q_ip_country(spark, sf_dir):
+    from ..operators.geo import ip_country
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
+    return ip_country(_client_addresses(spark, sf_dir), _nation_blocks(spark, sf_dir), names)
+
+
 QUERIES = {
+    "ip_country": q_ip_country,
     "parse_requests": q_parse_requests,
     "log_type_counts": q_log_type_counts,
     "parse_stats": q_parse_stats,
@@ -284,9 +320,30 @@ def _dominant_4xx_sql() -> str:
         WHERE place = 1"""
 
 
+def _ip_country_sql() -> str:
+    """By numbers: the place of an address within its net, and the blocks as ranges of such places."""
+    from ..operators.geo import PRIVATE_LABEL, UNKNOWN_LABEL
+    return f"""WITH a AS (
+          SELECT DISTINCT CASE event_id % 6 WHEN 0 THEN '10.0.0.' || (user_id % 256) WHEN 1 THEN '203.0.113.' || (user_id % 320)
+              WHEN 2 THEN '2001:db8::' || lower(to_hex(user_id % 1000)) WHEN 3 THEN '198.51.' || (user_id % 256) || '.' || (event_id % 256)
+              WHEN 4 THEN 'unknown' ELSE '192.0.2.' || (user_id % 256) END AS ip,
+            event_id % 6 AS kind,
+            CASE event_id % 6 WHEN 1 THEN CASE WHEN user_id % 320 < 256 THEN user_id % 320 END WHEN 2 THEN user_id % 1000
+              WHEN 3 THEN user_id % 256 END AS at
+          FROM events),
+        b AS (
+          SELECT 1 AS kind, n_nationkey AS k, n_nationkey * 10 AS lo, least(n_nationkey * 10 + 14, 255) AS hi, n_name FROM nation
+          UNION ALL SELECT 2, n_nationkey, n_nationkey * 32, n_nationkey * 32 + 40, n_name FROM nation
+          UNION ALL SELECT 3, n_nationkey, n_nationkey * 8, n_nationkey * 8 + 30, n_name FROM nation)
+        SELECT a.ip, CASE WHEN a.kind = 0 THEN {O.q(PRIVATE_LABEL)} ELSE coalesce(
+            (SELECT arg_max(b.n_name, b.lo) FROM b WHERE b.kind = a.kind AND a.at BETWEEN b.lo AND b.hi),
+            {O.q(UNKNOWN_LABEL)}) END AS country FROM a"""
+
+
 def oracle_sql() -> dict[str, str]:
     W = O.with_all
     return {
+        "ip_country": _ip_country_sql(),
         "parse_requests": W("""SELECT CAST(ord AS BIGINT) AS ord, log_type, ip, CAST(ts_s AS BIGINT) AS ts_s, method, url,
             CAST(status AS BIGINT) AS status, CAST(size AS BIGINT) AS size, username, tls_protocol, level FROM req""",
                             ("base",)),
