@@ -8,8 +8,8 @@ Stages (``explain`` shows them as such):
 2. counters that depend on history (W1, W2-W5, W8, W9, W10) via the
    skew-safe primitives of :mod:`loghound.operators.windows`.
 3. verdict per client (A1) and accumulating verdicts (A2): hash aggregates
-   with partial (map-side) aggregation, so a hot client is combined before
-   the shuffle.
+   over packed order numbers, so a hot client is combined before the shuffle,
+   and one join for the texts.
 """
 
 from __future__ import annotations
@@ -91,9 +91,19 @@ def line_detections(requests: DataFrame, legacy_order: bool = False) -> DataFram
     return exploded.select("ip", "ts_s", "ord", "log_type", "d.*")
 
 
-def _traversal(trv: DataFrame) -> DataFrame:
+def _numbered(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Running number ``n`` per client, going on from ``before`` (ip, n) where it is given."""
+    ranked = win.running_rank(rows, ["ip"], "n")
+    if before is None:
+        return ranked
+    start = before.select("ip", F.col("n").alias("_start"))
+    return ranked.join(start, "ip", "left").withColumn(
+        "n", (F.col("n") + F.coalesce("_start", F.lit(0))).cast("int")).drop("_start")
+
+
+def traversal_detections(trv: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """W8 + D6 reason: running traversal count per client."""
-    ranked = win.running_rank(trv, ["ip"], "n")
+    ranked = _numbered(trv, before)
     suffix = F.col("reason")
     high = F.col("n") >= win.TRAVERSAL_THRESHOLD
     label = (F.when(suffix != "", F.concat(suffix, F.when(high, F.lit("・高リスク")).otherwise(F.lit("")), F.lit("・")))
@@ -102,13 +112,23 @@ def _traversal(trv: DataFrame) -> DataFrame:
     return ranked.withColumn("reason", reason).withColumn("count", F.lit(1))
 
 
-def _auth(auth: DataFrame) -> DataFrame:
-    """W9 + W10: running failure count per client and the distributed check."""
-    ranked = win.running_rank(auth, ["ip"], "n")
-    base = ranked.withColumn(
+def _failure_reasons(ranked: DataFrame) -> DataFrame:
+    """The reason of a failure by the running number of its client."""
+    return ranked.withColumn(
         "reason", F.when(F.col("n") >= win.AUTH_FAILURE_THRESHOLD,
                          F.format_string(BRUTE_FORCE_REASON + " (%d回試行)", F.col("n"))).otherwise(F.col("reason"))
     ).withColumn("count", F.col("n"))
+
+
+def failure_detections(auth: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """W9 alone: the failures of each client with their running number."""
+    return _failure_reasons(_numbered(auth, before))
+
+
+def _auth(auth: DataFrame) -> DataFrame:
+    """W9 + W10: running failure count per client and the distributed check."""
+    ranked = _numbered(auth, None)
+    base = _failure_reasons(ranked)
     seconds = win.trailing_failures(auth)
     fired = (ranked.filter((F.col("n") < win.AUTH_FAILURE_THRESHOLD) & F.col("ts_s").isNotNull())
              .join(seconds, "ts_s")
@@ -136,7 +156,7 @@ def detections(parsed: DataFrame, legacy_order: bool = False, cut_lineage: bool
     if cut_lineage:
         lines = materialize(lines, "line-detections")
     plain = lines.filter(F.col("kind") == "plain").drop("kind")
-    trv = _traversal(lines.filter(F.col("kind") == "trv").drop("kind"))
+    trv = traversal_detections(lines.filter(F.col("kind") == "trv").drop("kind"))
     auth = _auth(lines.filter(F.col("kind") == "auth").drop("kind"))
     hf = win.high_frequency(req).select(
         "ip", "ts_s", "ord", F.lit(None).cast("string").alias("log_type"), F.lit(1).alias("seq"),
@@ -163,29 +183,50 @@ def _severe(reason: Column) -> Column:
     return sev
 
 
+def verdict_parts(dets: DataFrame) -> DataFrame:
+    """A1 + A2 in two phases: one row per (ip, acc), ``acc`` the accumulating reason or NULL.
+
+    1. Hash aggregates over numbers: the order of a detection is packed into
+       one number, so its least and greatest need no sort.
+    2. One equality join on (ip, order) fetches reason and code of the one
+       detection that counts: the last severe one, else the first.
+
+    Columns ip, acc, count, first (order of the first detection), pick (order
+    of the one that counts), severe, reason, reason_code, first_s, last_s.
+    """
+    keyed = dets.withColumn("pick", win.packed_order(sub=True)).withColumn(
+        "acc", F.when(F.col("accumulate"), F.col("reason"))).withColumn("_severe", _severe(F.col("reason")))
+    severe = F.max(F.when(F.col("_severe") & ~F.col("accumulate"), F.col("pick")))
+    ends = keyed.groupBy("ip", "acc", "accumulate").agg(
+        F.max("count").alias("_max"), F.sum("count").alias("_sum"), F.min("pick").alias("first"), severe.alias("_last"),
+        F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"))
+    chosen = ends.select(
+        "ip", "acc", F.when(F.col("accumulate"), F.col("_sum")).otherwise(F.col("_max")).cast("bigint").alias("count"),
+        "first", F.coalesce("_last", "first").alias("pick"), F.col("_last").isNotNull().alias("severe"), "first_s", "last_s")
+    texts = keyed.select("ip", "pick", F.coalesce("acc", F.lit("")).alias("_acc"), "reason", "reason_code")
+    return (chosen.withColumn("_acc", F.coalesce("acc", F.lit(""))).join(texts, ["ip", "pick", "_acc"])
+            .dropDuplicates(["ip", "pick", "_acc"]).drop("_acc"))
+
+
+def verdict_rows(parts: DataFrame) -> DataFrame:
+    """A10 + F8/F9: the verdict table of :func:`verdict_parts`, with priority, label and times."""
+    prio = priority_of(F.col("reason"))
+    seconds = F.lit("10000000000000000000000000").cast("decimal(38,0)")
+    rest = F.pmod(F.col("first"), seconds)
+    return parts.select(
+        "ip", "count", "reason", "reason_code", prio.alias("priority"), priority_label(prio).alias("label"),
+        F.timestamp_seconds("first_s").alias("first_seen"), F.timestamp_seconds("last_s").alias("last_seen"),
+        ((F.col("first") - rest) / seconds).cast("bigint").alias("first_ts_s"),
+        F.floor(rest / F.lit(1000000)).cast("bigint").alias("first_ord"))
+
+
 def verdicts(dets: DataFrame) -> DataFrame:
     """A1 + A2 + A10 + F8/F9: one row per client (plus one per accumulating
     reason), with priority, label and event-time first/last seen."""
-    order = F.struct(F.coalesce(F.col("ts_s"), F.lit(0)).alias("t"), F.col("ord").alias("o"),
-                     F.col("seq").alias("s"), F.col("sub").alias("u"))
-    main = (dets.filter(~F.col("accumulate"))
-            .groupBy("ip")
-            .agg(F.max("count").alias("count"),
-                 F.min_by("reason", order).alias("_first"),
-                 F.max_by(F.when(_severe(F.col("reason")), F.col("reason")),
-                          F.when(_severe(F.col("reason")), order)).alias("_severe"),
-                 F.min(order).alias("_first_ord"),
-                 F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"))
-            .select("ip", F.col("count").cast("bigint").alias("count"),
-                    F.coalesce("_severe", "_first").alias("reason"), "_first_ord", "first_s", "last_s"))
-    acc = (dets.filter(F.col("accumulate"))
-           .groupBy("ip", "reason")
-           .agg(F.sum("count").cast("bigint").alias("count"), F.min(order).alias("_first_ord"),
-                F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"))
-           .select("ip", "count", "reason", "_first_ord", "first_s", "last_s"))
-    both = main.unionByName(acc)
-    prio = priority_of(F.col("reason"))
-    return both.select(
-        "ip", "count", "reason", prio.alias("priority"), priority_label(prio).alias("label"),
-        F.timestamp_seconds("first_s").alias("first_seen"), F.timestamp_seconds("last_s").alias("last_seen"),
-        F.col("_first_ord.t").alias("first_ts_s"), F.col("_first_ord.o").alias("first_ord"))
+    return verdict_rows(verdict_parts(dets))
+
+
+def threat_types(dets: DataFrame) -> DataFrame:
+    """A4: per reason code of the verdicts its priority, rows and clients; no running number splits a type."""
+    return verdicts(dets).groupBy("reason_code", "priority").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("ip").alias("ips"))

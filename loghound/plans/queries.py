@@ -128,6 +128,10 @@ def q_threat_summary(spark, sf_dir):
         "reason", *_big("priority"), "ips")
 
 
+def q_threat_types(spark, sf_dir):
+    return core.threat_types(_dets(spark, sf_dir)).select("reason_code", *_big("priority", "rows", "ips"))
+
+
 def q_label_counts(spark, sf_dir):
     v = core.verdicts(_dets(spark, sf_dir))
     return v.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("ip").alias("ips"))
@@ -224,6 +228,7 @@ QUERIES = {
     "error_rules": q_error_rules,
     "verdicts": q_verdicts,
     "threat_summary": q_threat_summary,
+    "threat_types": q_threat_types,
     "label_counts": q_label_counts,
     "ip_classes": q_ip_classes,
     "report_lines": q_report_lines,
@@ -320,6 +325,34 @@ def _dominant_4xx_sql() -> str:
         WHERE place = 1"""
 
 
+def _threat_types_sql() -> str:
+    from ..operators.patterns import SHELL_SIGNATURES, TRAVERSAL_SIGNATURES
+    severe = " OR ".join(f"contains(reason, {O.q(m)})" for m in core.SEVERE_MARKS)
+    never = " OR ".join(f"contains(reason, {O.q(m)})" for m in core.NEVER_REPLACING_MARKS)
+    shell, trv = O._list([x[0] for x in SHELL_SIGNATURES]), O._list([x[0] for x in TRAVERSAL_SIGNATURES])
+    cols = "ip, ts_s, ord, seq, sub, reason, acc"
+
+    def chosen(col):
+        order = "ORDER BY ts_s, ord, seq, sub"
+        return (f"coalesce(last({col} {order}) FILTER (WHERE ({severe}) AND NOT ({never})), first({col} {order})) AS {col}")
+
+    coded = f"""SELECT {cols}, reason_code AS code FROM sqlhit
+        UNION ALL SELECT {cols}, {shell}[sub % 1000 + 1] FROM shellhit
+        UNION ALL SELECT {cols}, 'SHL-COMPLEX' FROM complexhit
+        UNION ALL SELECT t.ip, t.ts_s, t.ord, t.seq, t.sub, t.reason, t.acc, {trv}[s.trv_hit + 1] FROM trvhit t JOIN sig s ON s.ord = t.ord
+        UNION ALL SELECT {cols}, printf('ROW-%02d', seq) FROM rowhit
+        UNION ALL SELECT e.ip, e.ts_s, e.ord, e.seq, e.sub, e.reason, e.acc, printf('ERR-%02d', p.ph)
+          FROM (SELECT * FROM errplain UNION ALL SELECT * FROM authhit) e JOIN errph p ON p.ord = e.ord
+        UNION ALL SELECT {cols}, 'ERR-DIST' FROM disthit
+        UNION ALL SELECT {cols}, 'HIGH-FREQ' FROM hf
+        UNION ALL SELECT ip, ts_s, ord, 2, 0, reason, FALSE, 'HTTP-' || status FROM e4hit"""
+    return f"""SELECT code AS reason_code, CAST(priority AS BIGINT) AS priority, count(*) AS rows, count(DISTINCT ip) AS ips
+        FROM (SELECT ip, code, {O.priority_sql('reason')} AS priority FROM (
+          SELECT ip, {chosen('reason')}, {chosen('code')} FROM ({coded}) WHERE NOT acc GROUP BY ip
+          UNION ALL SELECT ip, reason, min(code) FROM ({coded}) WHERE acc GROUP BY ip, reason))
+        GROUP BY code, priority"""
+
+
 def _ip_country_sql() -> str:
     """By numbers: the place of an address within its net, and the blocks as ranges of such places."""
     from ..operators.geo import PRIVATE_LABEL, UNKNOWN_LABEL
@@ -371,6 +404,7 @@ def oracle_sql() -> dict[str, str]:
             CAST(first_s AS BIGINT) AS first_s, CAST(last_s AS BIGINT) AS last_s FROM verdict"""),
         "threat_summary": W("SELECT reason, CAST(priority AS BIGINT) AS priority, count(*) AS ips "
                             "FROM verdict GROUP BY reason, priority"),
+        "threat_types": W(_threat_types_sql()),
         "label_counts": W(f"SELECT {_label('priority')} AS label, count(*) AS rows, count(DISTINCT ip) AS ips "
                           f"FROM verdict GROUP BY 1"),
         "report_lines": W(f"""SELECT ip, CASE WHEN count > 0 THEN CAST(count AS VARCHAR) || '回' ELSE '-' END AS count_text,
