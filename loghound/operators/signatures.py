@@ -1,14 +1,11 @@
 """Signature detectors.
 
-Profile ``core``: the raw url and one lenient decoding are lower-cased once
-(projected as columns, so the ``lower``/decode is not recomputed per
-signature), then every signature is a conjunction of ``contains`` tests.
-``contains`` is a byte search in the JVM.  The projection is too wide for
-whole-stage code generation and runs outside it.
+Profile ``core``: the raw url and one lenient decoding are lower-cased once,
+the terms of the rule table are looked for once per level, and signatures are
+tested on the terms found (:mod:`loghound.operators.rules`).
 
-* SQL (D1) and traversal (D6): first hit in (level, signature) order
-  -> ``coalesce`` of ``when`` (stops at the first hit).
-* Shell (D4/D5): every hit on both levels -> ``array_compact(array(...))``.
+* SQL (D1) and traversal (D6): first hit in (level, signature) order.
+* Shell (D4/D5): every hit on both levels.
 
 Profiles ``fast``/``detailed`` (D2/D3/D7/D8) test regular-expression
 alternations on the request text and its decoding levels.
@@ -24,14 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decode import decode_levels, url_decode_once
-from .patterns import (SHELL_SIGNATURES, SQL_REGEX_DETAILED, SQL_REGEX_EXTRA, SQL_REGEX_FAST,
-                       SQL_SIGNATURES, TRAVERSAL_REGEX_DETAILED, TRAVERSAL_REGEX_EXTRA,
-                       TRAVERSAL_REGEX_FAST, TRAVERSAL_SIGNATURES)
+from .patterns import (SQL_REGEX_DETAILED, SQL_REGEX_EXTRA, SQL_REGEX_FAST, TRAVERSAL_REGEX_DETAILED,
+                       TRAVERSAL_REGEX_EXTRA, TRAVERSAL_REGEX_FAST)
+from .rules import LEVEL_STEP, Matcher, RuleSet, default_rules
 
 # --- fixed values: guards of the signature detectors ---
 GUARD_WORDS = ["not found", "error:", "failed", "denied", "invalid", "missing"]
 PAGE_SUFFIXES = [".html", ".php", ".jsp", ".asp"]
 PAGE_SQL_WORDS = ["where", "=", "table", "values"]
+PAGE_GUARDED = "SQL-004"
 # --- end of fixed values ---
 
 
@@ -105,48 +103,33 @@ def shell_profile_hits(requests: DataFrame, detailed: bool) -> DataFrame:
             .drop("_levels", "_error"))
 
 
-def _cnf_col(text: Column, clauses, unless=()) -> Column:
-    cond = None
-    for alts in clauses:
-        any_of = None
-        for t in alts:
-            c = text.contains(t)
-            any_of = c if any_of is None else (any_of | c)
-        cond = any_of if cond is None else (cond & any_of)
-    for u in unless:
-        cond = cond & ~text.contains(u)
-    return cond
-
-
-def core_signature_hits_compiled(requests: DataFrame) -> DataFrame:
-    """Add ``sql_hit`` (index of the first SQL signature hit, level-major, or
-    NULL), ``shell_hits`` (array of ``level * 1000 + index``), ``shell_high``
-    (high-risk hits) and ``trv_hit`` (first traversal index).  Every signature
-    is a conjunction of ``contains`` predicates on projected columns; no text
-    length suppresses a hit (D21 is left out: padding or brevity hid attacks)."""
+def core_signature_hits(requests: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """Add ``sql_hit`` (place of the first SQL signature that hits, level by level, or NULL), ``shell_hits``
+    (array of ``level * 1000 + place``), ``shell_high`` (high-risk hits) and ``trv_hit`` (first traversal place).
+
+    The terms of the rules are looked for once per level, and on the decoded
+    level only if decoding changed the text.  No text length suppresses a hit
+    (D21 is left out: padding or brevity hid attacks)."""
+    rules = rules or default_rules()
+    match = Matcher(rules)
     df = with_levels(requests)
     is_err = F.col("log_type").isin("error_log", "nginx_error_log")
-    sql_first, shell_hits, shell_high, trv_first = [], [], [], []
-    high_idx = {i for i, s in enumerate(SHELL_SIGNATURES) if s[4]}
+    df = df.withColumn("_t0", match.terms_in(F.col("_lo0")))
+    df = df.withColumn("_t1", F.when(F.col("_l1") == F.col("_l0"), F.col("_t0")).otherwise(match.terms_in(F.col("_lo1"))))
     for lvl in (0, 1):
-        raw = F.col(f"_l{lvl}")
-        low = F.col(f"_lo{lvl}")
+        raw, terms = F.col(f"_l{lvl}"), F.col(f"_t{lvl}")
         guarded = is_err & _any_in(raw, GUARD_WORDS)
         page_only = _any_in(raw, PAGE_SUFFIXES) & ~_any_in(raw, PAGE_SQL_WORDS)
-        sql_terms = []
-        for i, s in enumerate(SQL_SIGNATURES):
-            pred = _cnf_col(low, s[2], s[3])
-            if s[0] == "SQL-004":
-                pred = pred & ~page_only
-            sql_terms.append(F.when(pred, F.lit(i)))
-        sql_first.append(F.when(~guarded, F.coalesce(*sql_terms)))
-        terms = [F.when(_cnf_col(low, s[2]), F.lit(lvl * 1000 + i)) for i, s in enumerate(SHELL_SIGNATURES)]
-        shell_hits.append(F.when(~guarded, F.array_compact(F.array(*terms))).otherwise(F.array().cast("array<int>")))
-        trv_first.append(F.coalesce(*[F.when(low.contains(s[2]), F.lit(i)) for i, s in enumerate(TRAVERSAL_SIGNATURES)]))
-    hits = df.select("*", F.coalesce(*sql_first).alias("sql_hit"),
-                     F.concat(*shell_hits).alias("shell_hits"),
-                     F.coalesce(*trv_first).alias("trv_hit"))
-    high_arr = F.array(*[F.lit(i) for i in sorted(high_idx)])
-    return hits.withColumn(
-        "shell_high", F.size(F.filter("shell_hits", lambda h: F.array_contains(high_arr, h % 1000)))
-    ).drop("_l0", "_l1", "_lo0", "_lo1")
+        none = F.array().cast("array<int>")
+        df = df.withColumns({
+            f"_page{lvl}": page_only, f"_open{lvl}": ~guarded}).withColumns({
+                f"_sql{lvl}": F.when(F.col(f"_open{lvl}"), F.get(
+                    match.hits("sql", terms, F.col(f"_page{lvl}"), PAGE_GUARDED), F.lit(0))),
+                f"_shell{lvl}": F.when(F.col(f"_open{lvl}"), F.transform(
+                    match.hits("shell", terms), lambda i: i + lvl * LEVEL_STEP)).otherwise(none),
+                f"_trv{lvl}": F.get(match.hits("traversal", terms), F.lit(0))})
+    high = F.expr(f"cast(array({', '.join(str(i) for i, s in enumerate(rules.shell) if s.high)}) as array<int>)")
+    hits = df.select("*", F.coalesce("_sql0", "_sql1").alias("sql_hit"), F.concat("_shell0", "_shell1").alias("shell_hits"),
+                     F.coalesce("_trv0", "_trv1").alias("trv_hit"))
+    hits = hits.withColumn("shell_high", F.size(F.filter("shell_hits", lambda h: F.array_contains(high, h % LEVEL_STEP))))
+    return hits.select(*[c for c in hits.columns if c in requests.columns or not c.startswith("_")])

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from ..functions.priority import priority_label, priority_of
 from ..operators import windows as win
 from ..operators.parse import requests_only
-from ..operators.patterns import (COMPLEX_SHELL_REASON, SHELL_SIGNATURES, SQL_SIGNATURES, TRAVERSAL_REASON,
-                                  TRAVERSAL_SIGNATURES, shell_reason, sql_reason)
+from ..operators.patterns import COMPLEX_SHELL_REASON, TRAVERSAL_REASON, shell_reason, sql_reason
 from ..operators.rows import (BRUTE_FORCE_REASON, DISTRIBUTED_REASON, ERROR_PHRASES, ERROR_PHRASES_LEGACY,
                               error_phrase_index, row_detectors)
-from ..operators.signatures import core_signature_hits_compiled as core_signature_hits
+from ..operators.rules import LEVEL_STEP, RuleSet, default_rules, text_array
+from ..operators.signatures import core_signature_hits
 from .materialize import materialize
 
 # --- fixed values: reasons that replace an earlier verdict reason ---
@@ -45,22 +45,22 @@ def _det(seq, sub, code, reason, count=1, acc=False, kind="plain") -> Column:
                     F.lit(acc).alias("acc"), F.lit(kind).alias("kind"))
 
 
-def _lit_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def line_detections(requests: DataFrame, legacy_order: bool = False) -> DataFrame:
+def line_detections(requests: DataFrame, legacy_order: bool = False, rules: RuleSet | None = None) -> DataFrame:
     """All detections that need no history, plus placeholders for the
-    traversal (W8) and authentication (W9) counters, exploded to rows."""
-    hits = core_signature_hits(requests)
-    sql_reasons = _lit_array([sql_reason(s[4]) for s in SQL_SIGNATURES])
-    sql_codes = _lit_array([s[0] for s in SQL_SIGNATURES])
-    sh_reasons = _lit_array([shell_reason(s[3]) for s in SHELL_SIGNATURES])
-    sh_codes = _lit_array([s[0] for s in SHELL_SIGNATURES])
-    trv_codes = _lit_array([s[0] for s in TRAVERSAL_SIGNATURES])
+    traversal (W8) and authentication (W9) counters, exploded to rows.
+
+    ``rules`` replaces the built-in signatures (``rules_of`` a table)."""
+    rules = rules or default_rules()
+    hits = core_signature_hits(requests, rules)
+    sql_reasons = text_array([sql_reason(s.suffix) for s in rules.sql])
+    sql_codes = text_array([s.id for s in rules.sql])
+    sh_reasons = text_array([shell_reason(s.suffix) for s in rules.shell])
+    sh_codes = text_array([s.id for s in rules.shell])
+    trv_codes = text_array([s.id for s in rules.traversal])
+    trv_suffixes = text_array([s.suffix for s in rules.traversal])
     phrases = ERROR_PHRASES_LEGACY if legacy_order else ERROR_PHRASES
-    ph_reasons = _lit_array([p[1] for p in phrases])
-    ph_auth = _lit_array([p[2] for p in phrases])
+    ph_reasons = text_array([p[1] for p in phrases])
+    ph_auth = F.array(*[F.lit(p[2]) for p in phrases])
 
     sql_i = F.col("sql_hit")
     trv_i = F.col("trv_hit")
@@ -75,7 +75,7 @@ def line_detections(requests: DataFrame, legacy_order: bool = False) -> DataFram
                _det(4, 9999, "SHL-COMPLEX",
                     F.format_string(COMPLEX_SHELL_REASON + " (%dパターン検出)", n_shell), n_shell)),
         F.when(trv_i.isNotNull(), _det(5, 0, F.try_element_at(trv_codes, trv_i + 1),
-                                        F.try_element_at(_lit_array([s[3] for s in TRAVERSAL_SIGNATURES]), trv_i + 1),
+                                        F.try_element_at(trv_suffixes, trv_i + 1),
                                         1, False, "trv")),
     ]
     for seq, cond, reason, acc in row_detectors():
@@ -84,7 +84,7 @@ def line_detections(requests: DataFrame, legacy_order: bool = False) -> DataFram
                         _det(15, 0, F.format_string("ERR-%02d", ph), F.try_element_at(ph_reasons, ph + 1), 1, False,
                              F.when(ph_is_auth, F.lit("auth")).otherwise(F.lit("plain")))))
     shell_dets = F.transform("shell_hits", lambda h: _det(
-        4, h, F.try_element_at(sh_codes, (h % 1000) + 1), F.try_element_at(sh_reasons, (h % 1000) + 1)))
+        4, h, F.try_element_at(sh_codes, (h % LEVEL_STEP) + 1), F.try_element_at(sh_reasons, (h % LEVEL_STEP) + 1)))
     with_phrase = hits.withColumn("_phrase", F.when(is_error, error_phrase_index(F.col("url"), legacy_order)))
     arr = F.concat(F.array_compact(F.array(*fixed[:2])), shell_dets, F.array_compact(F.array(*fixed[2:])))
     exploded = with_phrase.select("ip", "ts_s", "ord", "log_type", F.explode(arr).alias("d"))
@@ -143,7 +143,8 @@ def _auth(auth: DataFrame) -> DataFrame:
     return base.drop("n").unionByName(fired.drop("n"))
 
 
-def detections(parsed: DataFrame, legacy_order: bool = False, cut_lineage: bool = True) -> DataFrame:
+def detections(parsed: DataFrame, legacy_order: bool = False, cut_lineage: bool = True,
+               rules: RuleSet | None = None) -> DataFrame:
     """Every detection of profile core, one row each.
 
     The per-line detections (signature matching is the CPU-heavy part) are
@@ -152,7 +153,7 @@ def detections(parsed: DataFrame, legacy_order: bool = False, cut_lineage: bool
     branches read the (small) hit table instead of re-matching every line.
     """
     req = requests_only(parsed)
-    lines = line_detections(req, legacy_order)
+    lines = line_detections(req, legacy_order, rules)
     if cut_lineage:
         lines = materialize(lines, "line-detections")
     plain = lines.filter(F.col("kind") == "plain").drop("kind")

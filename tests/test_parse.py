@@ -1,7 +1,7 @@
 from conftest import lines_df
 
 from loghound.operators.parse import parse_lines, rejects, requests_only
-from loghound.operators.signatures import core_signature_hits_compiled, shell_profile_hits
+from loghound.operators.signatures import core_signature_hits, shell_profile_hits
 
 ACCESS = '198.51.100.20 - - [12/Mar/2024:09:15:30 +0000] "GET /shop/cart?item=7 HTTP/1.1" 200 512'
 AUTH = '198.51.100.21 - maria [12/Mar/2024:09:15:31 +0000] "GET /reports HTTP/1.1" 401 99'
@@ -54,7 +54,7 @@ def test_long_texts_hide_nothing(spark):
     lines = [_access(attack.format("x" * 1100)), _access(attack.format("x" * 20000)),
              _access("verb" + "x" * 30 + " /a"), _access(f"GET /a?b=..%2525252f..%2525252fetc&c={five_fold} HTTP/1.1")]
     parsed = parse_lines(lines_df(spark, lines))
-    rows = {r.ord: r for r in core_signature_hits_compiled(requests_only(parsed)).collect()}
+    rows = {r.ord: r for r in core_signature_hits(requests_only(parsed)).collect()}
     assert len(rows) == 4 and len(rows[1].url) > 20000
     assert rows[0].sql_hit is not None and rows[1].sql_hit is not None
     assert rows[2].method == "VERB" + "X" * 30
