@@ -58,7 +58,7 @@ def classify_line(v: Column) -> Column:
                   | (v.contains('" ') & ~v.contains("HTTP/")))
     is_ts_first = (v.startswith("[") & v.contains("] ") & v.contains(' - - "')
                    & (all_verbs | v.contains('"-"') | v.contains(' "" ')))
-    is_nginx_error = v.rlike(r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2} \[\w+\] .*client: \d")
+    is_nginx_error = v.rlike(r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2} \[\w+\] .*client: \S")
     return (F.when(is_tls, F.lit("ssl_request_log"))
             .when(is_error, F.lit("error_log"))
             .when(access_shape & access_req, F.lit("access_log"))
@@ -77,7 +77,8 @@ def _access_request_kind(req: Column, body: Column, json_method: Column):
     rest = F.regexp_extract(req, r"^[^ ]* (.*)$", 1)
     has_http = req.contains("HTTP/")
     word1 = F.regexp_extract(req, r"^\s*(\S+)", 1)
-    word2 = F.regexp_extract(req, r"^\s*\S+\s+(\S+)", 1)
+    # all between the method and a last " HTTP/x": a blank does not end the url
+    word2 = F.regexp_extract(req, r"^\s*\S+\s+(.*?)(?:\s+HTTP/\S*)?\s*$", 1)
     is_json = body.startswith("{") & body.contains('"id":') & body.contains('"method":')
     method = (F.when(req == "-", F.lit("INCOMPLETE"))
               .when(is_json, F.lit("JSON-RPC"))
@@ -106,7 +107,7 @@ def _tls_request_kind(req: Column, body: Column, json_method: Column):
     cmd = F.coalesce(*[F.when(lower.startswith(c), F.lit(c)) for c in TLS_COMMANDS])
     w1 = F.regexp_extract(req, r"^([^ ]*)", 1)
     after = F.regexp_extract(req, r"^[^ ]* (.*)$", 1)
-    url2 = F.regexp_extract(after, r"^([^ ]*)", 1)
+    url2 = F.regexp_extract(after, r"^(.*?)(?: +HTTP/\S*)?\s*$", 1)
     jm_ok = json_method.isNotNull() & (json_method != "")
     method = (F.when(req == "", F.lit("SSL_EMPTY"))
               .when(req == "-", F.lit("SSL_INCOMPLETE"))
@@ -190,7 +191,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     ip = (F.when(is_access, _first_word(v))
           .when(is_tsfirst | is_tls, after_bracket)
-          .when(is_err | is_ngx, err_ip))
+          .when(is_ngx, F.regexp_extract(v, r"client: ([^,\s]+)", 1))
+          .when(is_err, err_ip))
     username = F.when(is_access, F.nullif(F.nullif(
         F.regexp_replace(F.regexp_extract(v, r"^\S+\s+\S+\s+(\S+)", 1), r'^"|"$', ""), F.lit("-")), F.lit("")))
     method = (F.when(is_access | is_tsfirst, a_method)
@@ -201,7 +203,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     tls_status_raw = prefix_int(tok1, "int")
     status = (F.when(is_access | is_tsfirst, tls_status_raw)
               .when(is_tls, F.when(~has_quote | (tok1 == ""), F.lit(200))
-                    .when(tok1 == "-", F.lit(None).cast("int"))
+                    .when(tok1 == "-", F.lit(0))
                     .when(tls_status_raw.between(100, 599), tls_status_raw)
                     .otherwise(F.lit(200)))
               .when(is_err | is_ngx, F.lit(500)))
@@ -214,8 +216,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                                                F.lit(ERROR_TS)))
           .when(is_ngx, F.try_to_timestamp(F.substring(v, 1, 19), F.lit("yyyy/MM/dd HH:mm:ss"))))
 
-    tls_protocol = F.when(is_tls, tls_proto).when(is_access & (ngx_tls != ""), ngx_tls)
-    tls_cipher_c = F.when(is_tls, tls_cipher).when(is_access & (ngx_tls != ""), ngx_cipher)
+    # an access line that only mentions TLS behind its request has no more to say than that
+    some_tls = is_access & F.col("_after").rlike(r"\sTLS\b")
+    tls_protocol = F.when(is_tls, tls_proto).when(is_access & (ngx_tls != ""), ngx_tls).when(some_tls, F.lit("TLS"))
+    tls_cipher_c = (F.when(is_tls, tls_cipher).when(is_access & (ngx_tls != ""), ngx_cipher)
+                    .when(some_tls, F.lit("unknown")))
 
     needs_request = is_access | is_tsfirst | is_tls
     stage3 = stage2.select(

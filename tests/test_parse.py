@@ -78,3 +78,24 @@ def test_rejects(spark):
              _access("GET / HTTP/1.1", status="abc"), _access("GET / HTTP/1.1", ip="1.2.3.400"), ACCESS]
     got = {r.ord: r.reason for r in rejects(parse_lines(lines_df(spark, lines))).collect()}
     assert got == {0: "blank", 1: "comment", 2: "format", 3: "client", 4: "request", 5: "client"}
+
+
+def test_blanks_tls_and_nginx_clients(spark):
+    at = "[01/Aug/2025:10:00:00 +0000]"
+    lines = [
+        f'198.51.100.7 - - {at} "GET /?q=union select aaa HTTP/1.1" 200 5',
+        f'{at} 198.51.100.7 TLSv1.3 X-Y "GET /?q=union select b HTTP/1.1" 200',
+        f'198.51.100.7 - - {at} "GET /a  HTTP/1.1" 200 5',
+        "2025/08/01 10:00:00 [error] 1#2: *3 open() failed, client: 2001:db8::2, server: x",
+        "2025/08/01 10:00:00 [error] 1#2: *3 open() failed, client: 198.51.100.9, server: x",
+        "2025/08/01 10:00:00 [error] 1#2: *3 open() failed, client: nobody, server: x",
+        f'{at} 198.51.100.7 TLSv1.3 X-Y "GET /a HTTP/1.1" -',
+        f'198.51.100.7 - - {at} "GET /a HTTP/1.1" 200 5 "-" "agent" TLSv1.2 ECDHE-X',
+        f'198.51.100.7 - - {at} "GET /a HTTP/1.1" 200 5 "-" "agent" TLS handshake',
+    ]
+    r = {x.ord: x for x in parse_lines(lines_df(spark, lines)).collect()}
+    assert [r[i].url for i in range(3)] == ["/?q=union select aaa", "/?q=union select b", "/a"]
+    assert [(r[i].ip, r[i].parsed) for i in (3, 4)] == [("2001:db8::2", True), ("198.51.100.9", True)] and not r[5].parsed
+    assert r[6].status == 0 and r[6].parsed
+    assert (r[7].tls_protocol, r[7].tls_cipher) == ("TLSv1.2", "ECDHE-X")
+    assert (r[8].tls_protocol, r[8].tls_cipher) == ("TLS", "unknown")
