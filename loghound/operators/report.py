@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clip_display, count_display
+from ..functions.text import clip_display, count_display, pct
 
 DISPLAY_WIDTH = 58
 
@@ -47,10 +47,35 @@ def threat_summary(verdicts: DataFrame) -> DataFrame:
             .orderBy(F.desc("priority"), F.desc("ips"), F.asc("reason")))
 
 
-def write_report(verdicts: DataFrame, stats: DataFrame, path: str) -> None:
+def parse_stats(parsed: DataFrame) -> DataFrame:
+    """One row of total, parsed and failed lines, shares, and the kinds of log among the parsed ones."""
+    order = F.array(*[F.lit(t) for t in ("access_log", "error_log", "ssl_request_log")])
+    agg = parsed.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("parsed")).alias("parsed"),
+                     F.collect_set(F.when(F.col("parsed"), F.col("log_type"))).alias("_types"))
+    kinds = F.filter(order, lambda t: F.array_contains(F.col("_types"), t))
+    failed = F.col("total") - F.col("parsed")
+    return agg.select("total", "parsed", failed.alias("failed"),
+                      pct(F.col("parsed"), F.col("total")).alias("parsed_pct"), pct(failed, F.col("total")).alias("failed_pct"),
+                      F.when(F.size(kinds) > 0, F.array_join(kinds, ", ")).otherwise(F.lit("不明なログ形式")).alias("log_types"))
+
+
+def write_detections(dets: DataFrame, path: str, files_per_day: int = 16) -> None:
+    """The detection list by day (``log_date``, ``unknown`` without a time).
+
+    A run replaces the days that it holds and no other, each with one commit
+    of the whole write; a day is dealt over ``files_per_day`` tasks.
+    """
+    day = F.coalesce(F.date_format(F.timestamp_seconds("ts_s"), "yyyy-MM-dd"), F.lit("unknown"))
+    (dets.withColumn("log_date", day)
+     .repartition(F.col("log_date"), F.pmod(F.xxhash64("ip", "ord"), F.lit(files_per_day)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date").parquet(path))
+
+
+def write_report(verdicts: DataFrame, stats: DataFrame, path: str, country: DataFrame | None = None) -> None:
     """Statistics, summary and ranked table as parquet plus a text form."""
     stats.write.mode("overwrite").parquet(f"{path}/stats")
     threat_summary(verdicts).write.mode("overwrite").parquet(f"{path}/summary")
-    ranked_lines = report_lines(ranked(verdicts))
+    ranked_lines = report_lines(ranked(verdicts), country)
+    ranked_lines = ranked_lines.orderBy(F.desc("priority"), F.desc("count"), "first_ts_s", "first_ord", "ip", "reason_text")
     ranked_lines.write.mode("overwrite").parquet(f"{path}/ranked")
     ranked_lines.select("line").write.mode("overwrite").text(f"{path}/ranked_text")

@@ -15,7 +15,7 @@ from ..functions.net import ip_class, ip_to_long
 from ..functions.priority import priority_label
 from ..operators import windows as win
 from ..operators.parse import requests_only
-from . import core, inputs, shell_queries
+from . import core, file_queries, inputs, shell_queries
 from .materialize import materialize
 from . import oracle as O
 
@@ -45,18 +45,8 @@ def q_log_type_counts(spark, sf_dir):
 
 
 def q_parse_stats(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    order = F.array(*[F.lit(t) for t in ("access_log", "error_log", "ssl_request_log")])
-    agg = p.agg(F.count(F.lit(1)).alias("total"),
-                F.count_if(F.col("parsed")).alias("parsed"),
-                F.collect_set(F.when(F.col("parsed"), F.col("log_type"))).alias("_types"))
-    kinds = F.filter(order, lambda t: F.array_contains(F.col("_types"), t))
-    return agg.select(
-        "total", "parsed", (F.col("total") - F.col("parsed")).alias("failed"),
-        F.when(F.col("total") > 0, F.round(F.col("parsed") * 100.0 / F.col("total"), 1)).otherwise(0.0).alias("parsed_pct"),
-        F.when(F.col("total") > 0, F.round((F.col("total") - F.col("parsed")) * 100.0 / F.col("total"), 1))
-        .otherwise(0.0).alias("failed_pct"),
-        F.when(F.size(kinds) > 0, F.array_join(kinds, ", ")).otherwise(F.lit("不明なログ形式")).alias("log_types"))
+    from ..operators.report import parse_stats
+    return parse_stats(parsed(spark, sf_dir))
 
 
 def q_url_decode(spark, sf_dir):
@@ -238,6 +228,7 @@ QUERIES = {
     "shell_4xx": q_shell_4xx,
     "dominant_4xx": q_dominant_4xx,
     **shell_queries.QUERIES,
+    **file_queries.QUERIES,
 }
 
 
@@ -417,6 +408,7 @@ def oracle_sql() -> dict[str, str]:
         "shell_4xx": W(_shell_4xx_sql(), ("base",)),
         "dominant_4xx": W(_dominant_4xx_sql(), ("base",)),
         **shell_queries.oracle_sql(),
+        **file_queries.oracle_sql(),
         "ip_classes": W("""SELECT DISTINCT ip,
             CASE WHEN split_part(ip, '.', 1) = '10' OR (split_part(ip, '.', 1) = '192' AND split_part(ip, '.', 2) = '168')
                    OR (split_part(ip, '.', 1) = '172' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31)

@@ -141,3 +141,20 @@ def log_lines(spark: SparkSession, sf_dir: str, partitions: int | None = None) -
     """Raw log lines with the columns of :func:`loghound.sources.text.read_log_lines`."""
     return render_lines(weblog(spark, sf_dir, partitions)).select(
         "ord", F.lit("events").alias("file_path"), "value")
+
+
+# (every n-th event, the reason of the reject, the line) of lines that give no record
+FAILING = [
+    (11, "comment", "# rotated"),
+    (13, "blank", "  "),
+    (17, "format", "service restarted"),
+    (19, "client", '999.1.1.1 - - [01/Aug/2025:00:00:00 +0900] "GET / HTTP/1.1" 200 1'),
+    (23, "status", '203.0.113.1 - - [01/Aug/2025:00:00:00 +0900] "GET / HTTP/1.1" 2000 1'),
+]
+
+
+def failing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that must be rejected: (ord, value), up to five for an event."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ord"))
+    found = F.array_compact(F.array(*[F.when(F.col("ord") % n == 0, F.lit(line)) for n, _, line in FAILING]))
+    return ev.select("ord", F.explode(found).alias("value"))
