@@ -244,23 +244,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     wanted = (grouped.join(large(["root", "part"], grouped), ["root", "part"])
               .select("doc_id", "root", "part", "blocks").distinct())
 
-    def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = shingle_sets([t.encode() for t in pdf["text"]], words)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "root": pdf["root"], "part": pdf["part"],
-                                "blocks": pdf["blocks"], "tokens": [s.tobytes() for s in sets]})
-
-    texts = d.join(wanted.hint("merge"), "doc_id")
-    dealt = (texts.mapInPandas(tokens_of, "doc_id long, root long, part long, blocks long, tokens binary")
+    # the texts themselves are dealt: compressed they are well below the eight bytes of a token
+    dealt = (d.join(wanted.hint("merge"), "doc_id")
              .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .select("root", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                     "block", "doc_id", "tokens"))
+                     "block", "doc_id", "text"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id"], kind="stable")
         ids = pdf["doc_id"].to_numpy()
-        sets = [np.frombuffer(t, dtype=np.uint64) for t in pdf["tokens"]]
+        sets = shingle_sets([t.encode() for t in pdf["text"]], words)
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         links = linked_pairs(sets, None if i == j else (pdf["block"] == i).to_numpy(), percent)
         return pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]}).astype("int64")
