@@ -271,12 +271,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    All columns stay.  Rows without doc_id stay; of rows that share a doc_id one stays.
+    All columns stay.  Rows without doc_id stay.  Rows that share a doc_id
+    and a text are one document; texts that share a doc_id only are told apart
+    by a hash of both in place of the id, so an unlike text is never lost.
     """
-    groups = near_duplicates(docs, words, percent).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(groups, docs["doc_id"].cast("long") == groups["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").cast("long").isNull())).select(*docs.columns)
+    own = F.col("doc_id").cast("long")
+    text = empty_if_null(F.col("text"))
+    keyed = docs.where(own.isNotNull())
+    odd = stage(keyed.select(own.alias("_id"), F.xxhash64(text).alias("_h")).groupBy("_id")
+                .agg(F.min("_h").alias("_low"), F.max("_h").alias("_high")).where("_low <> _high").select("_id"))
+    if odd.isEmpty():
+        named = keyed.withColumn("_key", own)
+    else:
+        named = (keyed.join(odd, own == F.col("_id"), "left")
+                 .withColumn("_key", F.when(F.col("_id").isNull(), own).otherwise(F.xxhash64(own, text))).drop("_id"))
+    groups = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), words, percent).where(
+        "doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = named.join(groups, F.col("_key") == F.col("_kept")).dropDuplicates(["_key"]).select(*docs.columns)
+    return kept.unionByName(docs.where(own.isNull())).select(*docs.columns)
 
 
 def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:

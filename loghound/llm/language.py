@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loghound.llm.common import empty_if_null, prepare, table
+from loghound.llm.common import empty_if_null, prepare, stage, table
 
 #: Most documents of each language in the fitting sample, and the longest text in characters that may be in it.
 SAMPLE_ROWS = 600
 SAMPLE_CHARS = 40000
+#: Parts of a language that are ranked on their own before the last ranking.
+SAMPLE_PARTS = 64
 #: Lengths of the character n-grams, and the bits of their hash: one weight a language and bucket.
 GRAMS = (1, 2, 3, 4)
 BITS = 16
@@ -184,15 +186,21 @@ def inverse_frequencies(rows: DataFrame, bits: int = BITS) -> np.ndarray:
 def language_sample(rows: DataFrame, count: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """At most ``count`` different texts of each language by a hash of doc_id, sorted by it, so reruns agree.
 
-    Copies of a text count once; only ids and hashes are ranked, and a
-    partial rank limit goes before the shuffle, so a language with most rows
-    is no hot task.
+    Copies of a text count once.  Only ids and hashes are ranked, first
+    within SAMPLE_PARTS parts of a language, so a language with most rows is
+    no hot task; the texts of the few chosen ids are read last.
     """
     short = rows.where(F.length("text") <= chars)
     ids = (short.select("lang", "doc_id", F.xxhash64("text").alias("_same")).groupBy("lang", "_same")
            .agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("doc_id"))).alias("_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_id.h", "_id.doc_id"))
-    picked = ids.withColumn("_at", rank).where(F.col("_at") <= count).select("lang", "_same", "_id.doc_id", "_at")
+
+    def first(df: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_id.h", "_id.doc_id"))
+        return df.withColumn("_at", rank).where(F.col("_at") <= count)
+
+    parts = first(ids.withColumn("_part", F.pmod("_id.h", F.lit(SAMPLE_PARTS))), "lang", "_part")
+    # written, so that its size is known to the join
+    picked = stage(first(parts, "lang").select("lang", "_same", "_id.doc_id", "_at"))
     found = (short.withColumn("_same", F.xxhash64("text")).join(picked, ["lang", "_same", "doc_id"])
              .dropDuplicates(["lang", "_same", "doc_id"]).select("_at", "lang", "text").collect())
     return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["_at"], r["lang"], r["text"]))]
