@@ -24,6 +24,9 @@ SPARE_SMALL = 24
 #: Tokens of one block of similar sets, and sets whose token union is one row of the matrix.
 BLOCK_TOKENS = 800_000
 GROUP_ROWS = 32
+#: The same for the lower similarity of the pipeline, whose groups are larger: each block of a group is sent
+#: once for every other one, so larger blocks send less; a task holds two of them (about 350 MB at its peak).
+KEEP_BLOCK_TOKENS = 2_000_000
 #: Bytes that are tokenised at once in a worker.
 BLOCK_BYTES = 1_500_000
 
@@ -285,7 +288,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     else:
         named = (keyed.join(odd, own == F.col("_id"), "left")
                  .withColumn("_key", F.when(F.col("_id").isNull(), own).otherwise(F.xxhash64(own, text))).drop("_id"))
-    groups = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), words, percent).where(
+    groups = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), words, percent, KEEP_BLOCK_TOKENS).where(
         "doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = named.join(groups, F.col("_key") == F.col("_kept")).dropDuplicates(["_key"]).select(*docs.columns)
     return kept.unionByName(docs.where(own.isNull())).select(*docs.columns)
