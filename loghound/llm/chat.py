@@ -15,7 +15,8 @@ from loghound.llm.common import empty_if_null, prepare, table
 
 #: Turns that are rendered as one prefix series if the template declares its look-back.
 SEGMENT_TURNS = 16
-PROBE = "\ue000"
+#: Private characters; the first one that a rendered prefix does not hold stands for its last text.
+PROBES = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
 TRAINED_ROLE = "assistant"
 
 Template = Callable[[list[tuple[str, str]]], str]
@@ -55,6 +56,11 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def probe_for(rendered: str) -> str:
+    """A character that ``rendered`` does not hold."""
+    return next(chr(c) for r in PROBES for c in r if chr(c) not in rendered)
+
+
 class PrefixSeries:
     """Renders each prefix of a conversation and locates every turn by comparing consecutive outputs.
 
@@ -62,7 +68,8 @@ class PrefixSeries:
     all its outputs share (for example a closing mark) must start the next
     output; where it does not, the turn is marked ``rewrites`` and the piece
     is counted from where the two outputs part.  The text inside a piece is
-    found by rendering the prefix with a private character as the last text.
+    found by rendering the prefix with a private character, one that it does
+    not hold, as the last text.
 
     Only the turns and the last output are held.  With ``look_back``, after
     each ``segment_turns`` turns only that many earlier turns, and one at
@@ -88,8 +95,9 @@ class PrefixSeries:
         rewrites = not now.startswith(kept)
         start = len(os.path.commonprefix([kept, now])) if rewrites else len(kept)
         piece = now[start:len(now) - tail]
-        probe = self.template(self.turns[:-1] + [(role, PROBE)])[start:]
-        at = probe.find(PROBE)
+        mark = probe_for(now)
+        probe = self.template(self.turns[:-1] + [(role, mark)])[start:]
+        at = probe.find(mark)
         end = len(now) - start - (len(probe) - at - 1) if at >= 0 else -1
         self.before = now
         return {"piece": piece, "text_start": at if at >= 0 else -1, "text_end": end, "rewrites": rewrites}

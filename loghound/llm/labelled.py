@@ -20,8 +20,9 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPL
     """At most ``rows`` (text, label) of each label 0 and 1, by a hash of doc_id; sorted, so reruns agree.
 
     Labels that are null or belong to held-out rows are left out; several
-    labels of one document count as the highest.  Only ids are ranked; at most
-    2 * ``rows`` of them are broadcast to pick the texts.
+    labels of one document count as the highest, of several texts of one
+    document the least is taken.  Only ids are ranked; at most 2 * ``rows`` of
+    them are broadcast to pick the texts.
     """
     spark = docs.sparkSession
     known = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -32,5 +33,5 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPL
         return []
     ids = spark.createDataFrame([(r["doc_id"], r["y"]) for r in picked], "doc_id long, y int")
     found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars)
-             .join(F.broadcast(ids), "doc_id").limit(4 * rows).collect())
+             .join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect())
     return sorted((r["text"], r["y"]) for r in found)

@@ -1,12 +1,16 @@
-"""Removal of repeated byte strings by distributed prefix doubling (operator 4)."""
+"""Removal of repeated byte strings by ranks of growing substrings at anchors (operator 4).
+
+Minimiser anchors and hashes of two lengths stand in place of prefix doubling, see README.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loghound.llm.common import prepare, stage, table
@@ -17,6 +21,9 @@ LENGTH = 100
 FIRST = 32
 #: Bytes that are ranked at once in a worker; longer texts go in overlapping pieces.
 BLOCK_BYTES = 1_500_000
+#: The first ranks are met in so many passes over the texts, a class of ranks each: the rows that are on disk
+#: at once fall by this factor, the texts are read and ranked as often.
+PASSES = 3
 #: Order of rows without doc_id: after all others.
 NO_ID = 2 ** 63 - 1
 
@@ -115,9 +122,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
     """Byte spans covered by a ``length``-byte string that also starts earlier in the corpus.
 
-    Prefix doubling over the places that decide: every window of ``length``
-    bytes is represented by its anchor, so about 2 / (length - first) of all
-    places are ranked.
+    Not prefix doubling over all places: every window of ``length`` bytes is
+    represented by its anchor, so about 2 / (length - first) of all places are
+    ranked, by hashes of two lengths.
     1. Rank of the bytes about each anchor that all its windows of one side
        hold (66 for 100); Spark sorts (rank, rank of the longer range) pairs.
        A rank that is unique ends there.
@@ -132,48 +139,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
     Returns doc_id (NO_ID for null), part, start, end; spans may overlap.
     """
     docs = docs.select("doc_id", "part", "data")
-
-    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranker = Ranker(length, first)
-        for pdf in batches:
-            rows = []
-            keys = list(zip(pdf["doc_id"], pdf["part"]))
-            for block in _blocks(keys, pdf["data"], length):
-                piece, s, windows, anchor, gram, whole = ranker.anchors(block)
-                doc = np.array([k[0] for k, _, _ in block], dtype=np.int64)[piece]
-                part = np.array([k[1] for k, _, _ in block], dtype=np.int64)[piece]
-                off = np.array([o for _, o, _ in block], dtype=np.int64)[piece]
-                rows.append((doc, part, _pack(s + off, windows, anchor), gram.view(np.int64), whole.view(np.int64)))
-            doc, part, at, gram, whole = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
-            if not len(doc):
-                continue
-            order = np.lexsort((at, part, doc, whole, gram))
-            doc, part, at, gram, whole = (x[order] for x in (doc, part, at, gram, whole))
-            same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (whole[1:] == whole[:-1])])
-            head = np.nonzero(~same)[0][np.cumsum(~same) - 1]
-            again = same & ((doc != doc[head]) | (part != part[head]) | (at != at[head]))  # a repeated row is not later than itself
-            # a settled row needs no meeting: it gets a key of its own
-            gram = np.where(again, doc * np.int64(1_000_003) ^ part ^ at, gram)
-            yield pd.DataFrame({"gram": gram, "whole": whole, "doc_id": doc, "part": part, "at": at, "again": again})
-
-    rows = docs.mapInPandas(ranked, "gram long, whole long, doc_id long, part long, at long, again boolean")
-    in_order = Window.partitionBy("gram", "whole").orderBy("doc_id", "part", "at")
-    first_place = [F.first(c).over(in_order).alias(f"{c}_0") for c in ("doc_id", "part", "at")]
-    moved = (F.col("doc_id") != F.col("doc_id_0")) | (F.col("part") != F.col("part_0")) | (F.col("at") != F.col("at_0"))
-    again = F.col("again") | moved
-    # one row of each pair is left besides the repeated ones
-    seen = stage(rows.select("*", *first_place, F.row_number().over(in_order).alias("nth")).withColumn("again", again)
-                 .where("again or nth = 1")
-                 .select(F.expr("if(again, null, gram)").alias("gram"), "doc_id", "part", "at", "again"))
-    start = F.shiftright("at", 16)
-    windows = F.shiftright("at", 8).bitwiseAND(F.lit(255))
-    whole_spans = seen.where("again").select("doc_id", "part", start.alias("start"),
-                                             (start + windows - 1 + length).alias("end"))
-
-    # a gram may stand in most documents: its pairs are counted map-side and joined, never held in one task
-    pairs = seen.where("not again")
-    shared = stage(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    open_ = stage(pairs.join(shared, "gram").groupBy("doc_id", "part").agg(F.collect_set("at").alias("ats")))
+    met = [_first_ranks(docs, length, first, k) for k in range(PASSES)]
+    whole_spans, open_ = (reduce(DataFrame.union, tables) for tables in zip(*met))
+    open_ = stage(open_.groupBy("doc_id", "part").agg(F.collect_set("at").alias("ats")))
 
     def window_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranker = Ranker(length, first)
@@ -211,9 +179,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
 
     asked = (docs.join(open_, ["doc_id", "part"]).dropDuplicates(["doc_id", "part"])
              .mapInPandas(window_ranks, "gram long, rank long, doc_id long, part long, at long, again boolean"))
-    in_order = Window.partitionBy("gram", "rank").orderBy("doc_id", "part", "at")
-    first_place = [F.first(c).over(in_order).alias(f"{c}_0") for c in ("doc_id", "part", "at")]
-    later = asked.select("*", *first_place).where(again).select("doc_id", "part", F.col("at").alias("start"))
+    later = _places(asked, "gram", "rank").where("again").select("doc_id", "part", F.col("at").alias("start"))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -230,6 +196,57 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
     return whole_spans.union(window_spans)
 
 
+def _places(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with ``again`` (also) set where an equal rank stands at an earlier place, and ``nth`` by place."""
+    in_order = Window.partitionBy(*by).orderBy("doc_id", "part", "at")
+    moved = reduce(Column.__or__, [F.col(c) != F.first(c).over(in_order) for c in ("doc_id", "part", "at")])
+    return (rows.withColumn("_moved", moved).withColumn("nth", F.row_number().over(in_order))
+            .withColumn("again", F.col("again") | F.col("_moved")).drop("_moved"))
+
+
+def _first_ranks(docs: DataFrame, length: int, first: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Spans settled by the ranks of class ``k``, and the (doc_id, part, at) that they leave open."""
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranker = Ranker(length, first)
+        for pdf in batches:
+            rows = []
+            keys = list(zip(pdf["doc_id"], pdf["part"]))
+            for block in _blocks(keys, pdf["data"], length):
+                piece, s, windows, anchor, gram, whole = ranker.anchors(block)
+                mine = np.nonzero(gram % np.uint64(PASSES) == np.uint64(k))[0]
+                piece, s, windows, anchor, gram, whole = (x[mine] for x in (piece, s, windows, anchor, gram, whole))
+                doc = np.array([k[0] for k, _, _ in block], dtype=np.int64)[piece]
+                part = np.array([k[1] for k, _, _ in block], dtype=np.int64)[piece]
+                off = np.array([o for _, o, _ in block], dtype=np.int64)[piece]
+                rows.append((doc, part, _pack(s + off, windows, anchor), gram.view(np.int64), whole.view(np.int64)))
+            doc, part, at, gram, whole = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
+            if not len(doc):
+                continue
+            order = np.lexsort((at, part, doc, whole, gram))
+            doc, part, at, gram, whole = (x[order] for x in (doc, part, at, gram, whole))
+            same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (whole[1:] == whole[:-1])])
+            head = np.nonzero(~same)[0][np.cumsum(~same) - 1]
+            again = same & ((doc != doc[head]) | (part != part[head]) | (at != at[head]))  # a repeated row is not later than itself
+            # a settled row needs no meeting: it gets a key of its own
+            gram = np.where(again, doc * np.int64(1_000_003) ^ part ^ at, gram)
+            yield pd.DataFrame({"gram": gram, "whole": whole, "doc_id": doc, "part": part, "at": at, "again": again})
+
+    rows = docs.mapInPandas(ranked, "gram long, whole long, doc_id long, part long, at long, again boolean")
+    # one row of each pair is left besides the repeated ones
+    seen = stage(_places(rows, "gram", "whole").where("again or nth = 1")
+                 .select(F.expr("if(again, null, gram)").alias("gram"), "doc_id", "part", "at", "again"))
+    start = F.shiftright("at", 16)
+    windows = F.shiftright("at", 8).bitwiseAND(F.lit(255))
+    whole_spans = seen.where("again").select("doc_id", "part", start.alias("start"),
+                                             (start + windows - 1 + length).alias("end"))
+
+    # a gram may stand in most documents: its pairs are counted map-side and joined, never held in one task
+    pairs = seen.where("not again")
+    shared = stage(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    left = stage(pairs.join(shared, "gram").select("doc_id", "part", "at"))
+    return whole_spans, left
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, part, data): the UTF-8 bytes of each text; null texts are empty, null ids NO_ID.
 

@@ -16,18 +16,17 @@ from loghound.llm.common import empty_if_null, prepare, table
 from loghound.llm.labelled import fit_sample, is_held_out
 
 THRESHOLD = 0.3
-#: A word is a labelled token of toxic documents if its share of the sample's toxic documents is LIFT
-#: times its share of the others, and its concentration there is beyond chance: the log likelihood
-#: ratio exceeds the log of the number of words by MARGIN.
-LIFT = 6.0
+#: A word is a labelled token of toxic documents if LIFT times as many of the sample's toxic documents hold
+#: it as its rate in clean text gives for documents of their lengths, and that is beyond chance: the log
+#: likelihood ratio exceeds the log of the number of words by MARGIN.
+LIFT = 4.0
 MARGIN = 6.0
 #: Lengths of word beginnings that are tried as features beside whole words (written with a star), and
 #: the fewest different words of toxic documents that one must begin.
 STEMS = range(4, 9)
 STEM_WORDS = 4
-#: Words of one training sequence, and sequences at most.
+#: Words of one training sequence; the texts of the sample are cut into sequences of this length, all of them.
 STEPS = 48
-SEQUENCES = 3000
 SPAN_MARGINAL = 0.5
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -128,7 +127,7 @@ class ToxicCrf:
     def fit(self, texts: list[str], y: np.ndarray, iterations: int = 40, rate: float = 0.3) -> None:
         y = np.asarray(y)
         tokens = [_TOKEN.findall(t.lower()) for t in texts]
-        toxic, other, begins = Counter(), Counter(), {}
+        other, toxic_docs, clean_words = Counter(), [], 0
         copies = set()
         for words, label in zip(tokens, y):
             # near copies share their lowest three-word hash most of the time: they count once
@@ -136,25 +135,22 @@ class ToxicCrf:
             if (low, label) in copies:
                 continue
             copies.add((low, label))
-            seen = set(words)
-            stems = {w[:k] + "*" for w in seen for k in STEMS if len(w) >= k}
-            (toxic if label else other).update(seen | stems)
             if label:
-                for w in seen:
-                    for k in STEMS:
-                        if len(w) >= k:
-                            begins.setdefault(w[:k] + "*", set()).add(w)
-        n1 = max(1, sum(1 for _, label in copies if label))
-        n0 = max(1, len(copies) - n1)
-        share = n1 / (n1 + n0)
-        beyond = np.log(len(toxic) + 1) + MARGIN
-
-        def surprise(n, m):
-            p = n / (n + m)
-            return n * np.log(p / share) + (m * np.log((1 - p) / (1 - share)) if m else 0.0)
-
-        marked = {w for w, n in toxic.items() if n / n1 >= LIFT * other[w] / n0 and surprise(n, other[w]) >= beyond
-                  and (w[-1] != "*" or len(begins[w]) >= STEM_WORDS)}
+                toxic_docs.append((set(words), len(words)))
+                continue
+            for w, n in Counter(words).items():
+                other[w] += n
+                for k in STEMS:
+                    if len(w) >= k:
+                        other[w[:k] + "*"] += n
+            clean_words += len(words)
+        # documents without a marked word go through another round: what marks a rare language is not held
+        # against the documents of the frequent ones
+        marked: set[str] = set()
+        while new := self._concentrated(toxic_docs, other, clean_words):
+            marked |= new
+            toxic_docs = [(words, n) for words, n in toxic_docs if not any(
+                w in new or any(w[:k] + "*" in new for k in STEMS if len(w) >= k) for w in words)]
         # the shortest marked beginning stands for the words and longer beginnings under it
         marked = {w for w in marked if not any(
             w[:k] + "*" in marked for k in STEMS if k < len(w.rstrip("*")) or k == len(w) and w[-1] != "*")}
@@ -168,32 +164,29 @@ class ToxicCrf:
                 i = index.get(w[:k] + "*")
             return i or 0
 
-        # training sequences with a labelled token first, then others evenly
-        seqs = []
-        for i, (w, label) in enumerate(zip(tokens, y)):
+        # all training sequences; equal ones, such as those without a known word, are one with a weight
+        seqs = Counter()
+        for w, label in zip(tokens, y):
             for a in range(0, len(w), STEPS):
-                part = w[a:a + STEPS]
-                ids = [known(t) for t in part]
-                tags = [int(bool(label) and k > 0) for k in ids]
-                seqs.append((not any(tags), i * 7919 % 104729, a, ids, tags))
-        seqs.sort(key=lambda s: s[:3])
-        with_tag = [s for s in seqs if not s[0]]
-        seqs = with_tag[:SEQUENCES // 2] + [s for s in seqs if s[0]][:SEQUENCES // 2]
-        if not with_tag:
+                seqs[tuple(known(t) for t in w[a:a + STEPS]), int(bool(label))] += 1
+        if not index:
             self.words = {}
             self.compile()
             self._fit_documents(texts, y)
             return
-        n = len(seqs)
-        ids, tags = np.zeros((n, STEPS), dtype=int), np.zeros((n, STEPS), dtype=int)
-        mask = np.zeros((n, STEPS), dtype=bool)
-        for r, (_, _, _, a, b) in enumerate(seqs):
-            ids[r, :len(a)], tags[r, :len(a)], mask[r, :len(a)] = a, b, True
+        rows = len(seqs)
+        ids, tags = np.zeros((rows, STEPS), dtype=int), np.zeros((rows, STEPS), dtype=int)
+        mask = np.zeros((rows, STEPS), dtype=bool)
+        weight = np.array(list(seqs.values()), dtype=float)
+        for r, (part, label) in enumerate(seqs):
+            ids[r, :len(part)], mask[r, :len(part)] = part, True
+            tags[r, :len(part)] = [label and int(k > 0) for k in part]
+        n = weight.sum()
         size = len(index) + 1
         self.emit = np.zeros(size)
         square = [np.zeros(size), np.zeros((2, 2)), np.zeros(2)]
         for _ in range(iterations):
-            g_emit, g_move, g_start = self._gradient(ids, tags, mask)
+            g_emit, g_move, g_start = self._gradient(ids, tags, mask, weight)
             grads = [g_emit / n - 1e-3 * self.emit, g_move / n - 1e-3 * self.move, g_start / n - 1e-3 * self.start]
             for k, (p, g) in enumerate(zip((self.emit, self.move, self.start), grads)):
                 square[k] += g * g
@@ -202,8 +195,29 @@ class ToxicCrf:
         self.compile()
         self._fit_documents(texts, y)
 
-    def _gradient(self, ids, tags, mask):
-        """Observed minus expected counts over padded sequences (forward-backward, step by step)."""
+    @staticmethod
+    def _concentrated(toxic_docs: list[tuple[set[str], int]], other: Counter, clean_words: int) -> set[str]:
+        """Words and beginnings that more of the documents hold than their rate in clean text explains."""
+        toxic, begins = Counter(), {}
+        for words, _ in toxic_docs:
+            toxic.update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k})
+            for w in words:
+                for k in STEMS:
+                    if len(w) >= k:
+                        begins.setdefault(w[:k] + "*", set()).add(w)
+        beyond = np.log(len(toxic) + 1) + MARGIN
+        lengths = np.array([n for _, n in toxic_docs], dtype=float)
+        out = set()
+        for w, n in toxic.items():
+            if n < 3 or w[-1] == "*" and len(begins[w]) < STEM_WORDS:
+                continue
+            chance = -np.expm1(-(other[w] + 0.5) / (clean_words + 1) * lengths).sum()
+            if n >= LIFT * chance and n * np.log(n / chance) - (n - chance) >= beyond:
+                out.add(w)
+        return out
+
+    def _gradient(self, ids, tags, mask, weight):
+        """Observed minus expected counts over padded, weighted sequences (forward-backward, step by step)."""
         n, steps = ids.shape
         e = np.stack([np.ones(ids.shape), np.exp(self.emit[ids])], -1)
         move = np.exp(self.move)
@@ -218,13 +232,13 @@ class ToxicCrf:
             live = mask[:, t]
             pair = alpha[:, t - 1, :, None] * move[None] * (e[:, t] * beta[:, t])[:, None, :]
             pair /= pair.sum((1, 2), keepdims=True)
-            g_move -= pair[live].sum(0)
-            np.add.at(g_move, (tags[live, t - 1], tags[live, t]), 1)
+            g_move -= (pair * weight[:, None, None])[live].sum(0)
+            np.add.at(g_move, (tags[live, t - 1], tags[live, t]), weight[live])
             b = (e[:, t] * beta[:, t]) @ move.T
             beta[:, t - 1] = np.where(live[:, None], b / b.sum(1, keepdims=True), beta[:, t - 1])
         p = alpha * beta
         p = p[..., 1] / p.sum(-1)
-        diff = (tags - p) * mask
+        diff = (tags - p) * mask * weight[:, None]
         g_emit = np.bincount(ids.ravel(), weights=diff.ravel(), minlength=len(self.emit))
         first = diff[:, 0].sum()
         return g_emit, g_move, np.array([-first, first])
@@ -260,7 +274,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicCrf:
     """Fit on the bounded sample of ``labelled.fit_sample``.
 
     Only documents are labelled; a token of a toxic document is labelled toxic
-    if its word is far more frequent in toxic documents (LIFT, MARGIN).
+    if its word, or its beginning, stands in far more toxic documents than the
+    rate of clean text explains (LIFT, MARGIN).
     Without labels nothing is toxic.
     """
     sample = fit_sample(docs, labels, "toxic")
@@ -294,7 +309,12 @@ def score_toxicity(docs: DataFrame, crf: ToxicCrf, threshold: float = THRESHOLD)
 
 
 def drop_toxic(docs: DataFrame, crf: ToxicCrf, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose text the model rejects; all columns stay."""
+    """``docs`` without the rows whose text the model rejects; all columns stay.
+
+    Cases: a null or empty text holds no known word and stays unless the model
+    calls such texts toxic; repeated rows share their decision; an empty table
+    gives an empty one; other columns are not read.
+    """
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: crf.tag(t or "")[0] < threshold).astype(bool)
