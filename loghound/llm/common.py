@@ -45,6 +45,20 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`stage` that nothing reads any more.
+
+    Only once all that was made of them is itself written: a lost executor then
+    never asks for them again.
+    """
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        if not folder.getName().startswith("stage-"):
+            raise ValueError(f"not a table of stage(): {folder}")
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

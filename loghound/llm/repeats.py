@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loghound.llm.common import prepare, stage, table
+from loghound.llm.common import discard, prepare, stage, table
 from loghound.llm.hashing import Rolling, byte_values, powers
 
 #: Length of the strings that count, and of the first rank.
@@ -140,8 +140,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
     """
     docs = docs.select("doc_id", "part", "data")
     met = [_first_ranks(docs, length, first, k) for k in range(PASSES)]
-    whole_spans, open_ = (reduce(DataFrame.union, tables) for tables in zip(*met))
-    open_ = stage(open_.groupBy("doc_id", "part").agg(F.collect_set("at").alias("ats")))
+    left = [table_ for _, table_ in met]
+    whole_spans = reduce(DataFrame.union, [spans for spans, _ in met])
+    open_ = stage(reduce(DataFrame.union, left).groupBy("doc_id", "part").agg(F.collect_set("at").alias("ats")))
+    discard(*left)
 
     def window_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranker = Ranker(length, first)
@@ -193,6 +195,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     window_spans = stage(later.repartition(n, "doc_id", "part").sortWithinPartitions("doc_id", "part", "start")
                          .mapInPandas(runs, "doc_id long, part long, start long, end long"))
+    discard(open_)
     return whole_spans.union(window_spans)
 
 
@@ -237,13 +240,14 @@ def _first_ranks(docs: DataFrame, length: int, first: int, k: int) -> tuple[Data
                  .select(F.expr("if(again, null, gram)").alias("gram"), "doc_id", "part", "at", "again"))
     start = F.shiftright("at", 16)
     windows = F.shiftright("at", 8).bitwiseAND(F.lit(255))
-    whole_spans = seen.where("again").select("doc_id", "part", start.alias("start"),
-                                             (start + windows - 1 + length).alias("end"))
+    whole_spans = stage(seen.where("again").select("doc_id", "part", start.alias("start"),
+                                                   (start + windows - 1 + length).alias("end")))
 
     # a gram may stand in most documents: its pairs are counted map-side and joined, never held in one task
     pairs = seen.where("not again")
     shared = stage(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     left = stage(pairs.join(shared, "gram").select("doc_id", "part", "at"))
+    discard(seen, shared)
     return whole_spans, left
 
 
