@@ -14,19 +14,17 @@ from loghound.llm.labelled import fit_sample, is_held_out
 
 FILTERS = 8
 WIDTH = 6
-#: Bytes between two places of a filter.
-STRIDE = 2
-#: Bytes that one chunk pools over; with the filters' width it shares WIDTH - STRIDE bytes with the next.
+#: Places of a filter that one chunk pools over; the next chunk starts half a chunk later.
 CHUNK = 64
+HALF = CHUNK // 2
 #: A byte counts as repeated if the 6 bytes from it stand also at one of these distances before it.
 LAGS = range(2, 33)
 SYMBOLS = 512
 THRESHOLD = 0.7
 EPOCHS = 14
-FIT_CHUNKS = 12
 SEED = 7
-#: Bytes that are scored at once in a worker.
-BLOCK = 2_000_000
+#: Places that are scored at once in a worker.
+BLOCK = 1_000_000
 
 
 def symbols(data: np.ndarray) -> np.ndarray:
@@ -59,32 +57,33 @@ class ByteConvNet:
         self.out_bias = np.float32(0)
 
     def _conv(self, s: np.ndarray) -> np.ndarray:
-        """Filter outputs at every STRIDE-th place of rows of symbols (last axis)."""
+        """Filter outputs at every place of rows of symbols (last axis)."""
         width = len(self.taps)
         m = s.shape[-1] - width + 1
-        z = self.taps[0].take(s[..., :m:STRIDE], axis=0)
+        z = self.taps[0].take(s[..., :m], axis=0)
         for j in range(1, width):
-            z += self.taps[j].take(s[..., j:j + m:STRIDE], axis=0)
+            z += self.taps[j].take(s[..., j:j + m], axis=0)
         return z
 
-    def chunk_features(self, data: bytes) -> np.ndarray:
-        """Max-pooled activations of each chunk of a text."""
+    def _halves(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """Rows of symbols, one for each half chunk, and the places in the last one."""
         width = len(self.taps)
-        s = symbols(np.frombuffer(data, dtype=np.uint8))
-        pooled = []
-        step = CHUNK * (BLOCK // CHUNK)
-        for a in range(0, max(1, len(s) - width + 1), step):
-            part = s[a:a + step + width - STRIDE]
-            if len(part) < width:
-                part = np.concatenate([part, np.zeros(width - len(part), dtype=np.int16)])
-            z = self._conv(part)
-            places = CHUNK // STRIDE
-            full = len(z) // places * places
-            tops = [z[:full].reshape(-1, places, z.shape[1]).max(1)]
-            if full < len(z):
-                tops.append(z[full:].max(0, keepdims=True))
-            pooled.append(np.maximum(np.concatenate(tops) + self.bias, 0))
-        return np.concatenate(pooled)
+        places = max(1, len(s) - width + 1)
+        n = -(-places // HALF)
+        s = np.concatenate([s, np.zeros(n * HALF + width - 1 - len(s), dtype=np.int16)])
+        return np.lib.stride_tricks.sliding_window_view(s, HALF + width - 1)[::HALF], places - (n - 1) * HALF
+
+    def chunk_features(self, data: bytes) -> np.ndarray:
+        """Max-pooled activations of each chunk of a text; the chunks overlap by half and cover it whole."""
+        rows, last = self._halves(symbols(np.frombuffer(data, dtype=np.uint8)))
+        tops = []
+        for a in range(0, len(rows), BLOCK // HALF):
+            z = self._conv(rows[a:a + BLOCK // HALF])
+            if a + len(z) == len(rows):
+                z[-1, last:] = -np.inf
+            tops.append(z.max(1))
+        top = np.concatenate(tops)
+        return np.maximum((np.maximum(top[:-1], top[1:]) if len(top) > 1 else top) + self.bias, 0)
 
     def score(self, data: bytes) -> float:
         """Probability of label 1; a text without bytes has no activation."""
@@ -96,47 +95,48 @@ class ByteConvNet:
         return float(1 / (1 + np.exp(-np.clip(x @ self.out + self.out_bias, -30, 30))))
 
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = SEED) -> None:
-        """Adam on the log loss over FIT_CHUNKS evenly spaced chunks of each text."""
+        """Adam on the log loss over all chunks of each text; the gradient of a chunk goes through its winning places."""
         rng = np.random.default_rng(seed)
-        width = len(self.taps)
-        span = CHUNK + width - STRIDE
-        rows, owner = [], []
-        for i, t in enumerate(texts):
-            s = symbols(np.frombuffer(t, dtype=np.uint8))
-            if len(s) < span:
-                s = np.concatenate([s, np.zeros(span - len(s), dtype=np.int16)])
-            starts = np.unique(np.linspace(0, len(s) - span, FIT_CHUNKS).astype(int) if len(s) > span else [0])
-            rows += [s[a:a + span] for a in starts]
-            owner += [i] * len(starts)
-        rows, owner = np.stack(rows), np.array(owner)
-        first = np.searchsorted(owner, np.arange(len(texts) + 1))
+        width, f = len(self.taps), len(self.bias)
+        whole = [symbols(np.frombuffer(t, dtype=np.uint8)) for t in texts]
         params = [self.taps, self.bias, self.out]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         mb = vb = 0.0
         t = 0
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 64)):
-                idx = np.concatenate([np.arange(first[i], first[i + 1]) for i in batch])
-                n_of = np.array([first[i + 1] - first[i] for i in batch])
+                halves = [self._halves(whole[i]) for i in batch]
+                n_half = np.array([len(r) for r, _ in halves])
+                ends = np.cumsum(n_half)
+                rows = np.concatenate([r for r, _ in halves])
+                z = self._conv(rows)
+                for end, (_, last) in zip(ends, halves):
+                    z[end - 1, last:] = -np.inf
+                arg, best = z.argmax(1), z.max(1)
+                # a chunk is a half and the next one of the same text; a text of one half is one chunk
+                opens = np.ones(len(rows), dtype=bool)
+                opens[ends[n_half > 1] - 1] = False
+                low = np.nonzero(opens)[0]
+                n_of = np.maximum(n_half - 1, 1)
+                of = np.repeat(np.arange(len(batch)), n_of)
+                high = np.where(n_half[of] > 1, low + 1, low)
                 cuts = np.concatenate([[0], np.cumsum(n_of)[:-1]])
-                s = rows[idx]
-                z = self._conv(s)
-                arg = z.argmax(1)
-                top = np.take_along_axis(z, arg[:, None, :], 1)[:, 0] + self.bias
+                won = np.where(best[high] > best[low], high[:, None], low[:, None])
+                top = np.maximum(best[high], best[low]) + self.bias
                 act = np.maximum(top, 0)
                 mean, most = np.add.reduceat(act, cuts) / n_of[:, None], np.maximum.reduceat(act, cuts)
                 x = np.concatenate([mean, most], 1)
                 p = 1 / (1 + np.exp(-np.clip(x @ self.out + self.out_bias, -30, 30)))
                 err = ((p - y[batch]) / len(batch)).astype(np.float32)
                 gx = err[:, None] * self.out[None]
-                f = len(self.bias)
-                of = np.repeat(np.arange(len(batch)), n_of)
                 g = gx[of, :f] / n_of[of, None] + gx[of, f:] * (act == most[of]) * (act > 0)
                 g *= top > 0
                 gt = np.zeros_like(self.taps)
                 r, k = np.nonzero(g)
+                half = won[r, k]
+                place = arg[half, k]
                 for j in range(width):
-                    np.add.at(gt[j], (s[r, arg[r, k] * STRIDE + j], k), g[r, k])
+                    np.add.at(gt[j], (rows[half, place + j], k), g[r, k])
                 grads = [gt, g.sum(0), x.T @ err + 1e-4 * self.out]
                 t += 1
                 for q, (param, grad) in enumerate(zip(params, grads)):
