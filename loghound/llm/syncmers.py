@@ -10,10 +10,13 @@ from loghound.llm.common import prepare, stage, table
 #: Tokens of an anchor (k-mer) and of the inner substrings that choose it; K is a multiple of S.
 K = 6
 S = 2
-#: A token is a run of at most so many characters that are not white space.
-TOKEN = "\\S{1,12}"
-#: Smallest anchor hashes that a fingerprint keeps.
+#: A token is a word of at most 24 characters; in longer runs without white space each character is one,
+#: so a character put in or taken out changes the anchors about it only.
+TOKEN = "(?<!\\S)\\S{1,24}(?!\\S)|\\S"
+#: Smallest anchor hashes that a fingerprint keeps, whatever its text's length.
 SKETCH = 64
+#: All anchor hashes below this one, a sixteenth of all, are kept as well: the list grows with the text.
+BELOW = -2 ** 63 + 2 ** 60
 #: Consecutive doc_ids that are sorted together to find each document's neighbour.
 BUCKET_IDS = 256
 
@@ -51,8 +54,22 @@ def anchors(inner: Column, k: int = K, s: int = S) -> Column:
     return F.array_compact(F.concat(opens, closes))
 
 
-def smallest(hashes: Column, n: int = SKETCH) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, n)
+def placed_anchors(inner: Column, k: int = K, s: int = S) -> Column:
+    """The closed syncmers in text order, each with the number of its first token: array of (at, anchor)."""
+    w = k - s + 1
+
+    def at(x, i):
+        run = [F.get(inner, i + j) for j in range(w)]
+        low = F.least(*run)
+        return F.when(run[-1].isNotNull() & ((run[0] == low) | (run[-1] == low)),
+                      F.struct(i.cast("long").alias("at"), F.xxhash64(*run[::s]).alias("anchor")))
+
+    return F.array_compact(F.transform(inner, at))
+
+
+def smallest(hashes: Column, n: int = SKETCH, below: int = BELOW) -> Column:
+    """The ``n`` smallest hashes and all that are less than ``below``, in order."""
+    return F.filter(F.sort_array(F.array_distinct(hashes)), lambda h, i: (i < n) | (h < F.lit(below)))
 
 
 def or_whole(hashes: Column, text: Column) -> Column:
@@ -60,11 +77,19 @@ def or_whole(hashes: Column, text: Column) -> Column:
     return F.when((F.size(hashes) == 0) & (F.length(text) > 0), F.array(F.xxhash64(text))).otherwise(hashes)
 
 
-def likeness(a: Column, b: Column, n: int = SKETCH) -> Column:
-    """Jaccard estimate of two sketches: the share of the ``n`` smallest hashes of both that both have."""
-    union = smallest(F.array_union(a, b), n)
-    common = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(common / F.size(union))
+def likeness(a: Column, b: Column, n: int = SKETCH, below: int = BELOW) -> Column:
+    """Jaccard estimate of two sketches over the hashes up to which both are complete.
+
+    A sketch of less than ``n`` hashes holds all of its text's, any other those
+    up to its last one or ``below``.
+    """
+    def bound(x):
+        return F.when(F.size(x) < n, F.lit(2 ** 63 - 1)).otherwise(F.greatest(F.element_at(x, -1), F.lit(below)))
+
+    limit = F.least(bound(a), bound(b))
+    union = F.size(F.filter(F.array_union(a, b), lambda h: h <= limit))
+    common = F.size(F.filter(F.array_intersect(a, b), lambda h: h <= limit))
+    return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
 def printed(hashes: Column) -> Column:
@@ -114,14 +139,30 @@ def with_sketch(df: DataFrame, text: str, name: str, k: int = K, s: int = S, ske
             .withColumn(name, or_whole(F.col("_anchors"), F.col(text))).drop("_anchors"))
 
 
+def anchor_places(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
+    """All anchors of every whole text with their places, for positional matching: (doc_id, anchor, at).
+
+    ``at`` is the number of the anchor's first token.  A passage that stands in
+    two texts has the same anchors in both, at places that differ by one number.
+
+    Cases: a null or empty text and a text of less than ``k`` tokens have no
+    rows; repeated rows give repeated rows; other columns are not read.
+    """
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        F.regexp_extract_all(F.col("text").cast("string"), F.lit(TOKEN), F.lit(0)).alias("_tokens"))
+            .select("doc_id", inner_hashes(F.col("_tokens"), s).alias("_inner"))
+            .select("doc_id", F.explode(placed_anchors(F.col("_inner"), k, s)).alias("_a"))
+            .select("doc_id", "_a.anchor", "_a.at"))
+
+
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, sketch: int = SKETCH,
                  bucket_ids: int = BUCKET_IDS) -> DataFrame:
     """Fingerprint of every text and of its edited text.
 
     The edited text has the last third replaced by the first characters of
     the next document (descending doc_id).  A fingerprint is the sorted list
-    of the ``sketch`` smallest anchor hashes; a text's own is made before the
-    texts move.
+    of the ``sketch`` smallest anchor hashes and of all below a fixed share; a
+    text's own is made before the texts move.
 
     Cases: a null text is empty; the empty text has an empty fingerprint, and
     two of them are alike by 1; a text without an anchor stands for itself;
