@@ -17,6 +17,8 @@ FIXED = 32.0
 SQUARE = 16384.0
 #: Pieces that are packed together on average.
 SHARD_ROWS = 30000
+#: Equal rows that one array numbers.
+COPIES_AT_ONCE = 10000
 
 
 def sequence_cost(capacity: int, fixed: float = FIXED, square: float = SQUARE) -> float:
@@ -68,9 +70,11 @@ def pack(docs: DataFrame, capacities=CAPACITIES, fixed: float = FIXED, square: f
 
     Needs ``doc_id`` and ``text``; a token is a word.  A document longer than
     the longest sequence is cut into full sequences and a rest.  Pieces are
-    dealt by hash to shards of about ``shard_rows`` pieces; a shard is packed
-    in one task, so memory stays bounded at any size and the loss against one
-    global packing is below one open bin of each length per shard.
+    dealt by a hash of doc_id, text, copy and piece to shards of about
+    ``shard_rows`` pieces; a shard is packed in one task, so memory stays
+    bounded at any size and the loss against one global packing is below one
+    open bin of each length per shard.  The packing does not depend on the
+    order or the files of the rows.
 
     Cases: a text that is null or has no words gets one row without a bin
     (``bin_id`` and ``capacity`` null, 0 tokens); repeated rows are packed as
@@ -81,15 +85,21 @@ def pack(docs: DataFrame, capacities=CAPACITIES, fixed: float = FIXED, square: f
     """
     longest = max(capacities)
     cut = F.greatest(F.lit(0), F.ceil(F.col("size") / longest) - 1)
-    pieces = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"))
-                   .withColumn("row", F.monotonically_increasing_id())
-                   .select("doc_id", "row", "size", F.explode(F.sequence(F.lit(0).cast("long"), cut.cast("long"))).alias("piece"))
+    same = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"),
+                        word_count(F.col("text")).alias("size"))
+            .groupBy("doc_id", "hash", "size").agg(F.count(F.lit(1)).alias("n")))
+    # equal rows are told apart by a number, in two steps: no array of all of them is made
+    copies = (same.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES_AT_ONCE})")).alias("_lot"))
+              .select("doc_id", "hash", "size", F.explode(F.expr(
+                  f"sequence(_lot * {COPIES_AT_ONCE}, least(n, (_lot + 1) * {COPIES_AT_ONCE}) - 1)")).alias("copy")))
+    pieces = stage(copies
+                   .select("*", F.explode(F.sequence(F.lit(0).cast("long"), cut.cast("long"))).alias("piece"))
                    .withColumn("start_token", F.col("piece") * longest)
                    .withColumn("n_tokens", F.least(F.lit(longest), F.col("size") - F.col("start_token"))))
     shards = max(1, -(-pieces.count() // shard_rows))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece", "row"], ascending=[False, True, True, True])
+        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece", "hash", "copy"], ascending=[False, True, True, True, True])
         b, o, c = pack_lengths(pdf["n_tokens"].to_numpy(), capacities, fixed, square)
         shard = int(pdf["shard"].iloc[0])
         return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "piece": pdf["piece"].to_numpy(),
@@ -98,7 +108,7 @@ def pack(docs: DataFrame, capacities=CAPACITIES, fixed: float = FIXED, square: f
 
     schema = "doc_id long, piece long, start_token long, n_tokens long, bin_id long, capacity long, bin_offset long"
     full = (pieces.where("n_tokens > 0")
-            .withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("long"))
+            .withColumn("shard", F.pmod(F.xxhash64("doc_id", "hash", "copy", "piece"), F.lit(shards)).cast("long"))
             .groupBy("shard").applyInPandas(run, schema))
     none = pieces.where("n_tokens <= 0").select(
         "doc_id", "piece", "start_token", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("bin_id"),
