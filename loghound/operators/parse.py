@@ -101,10 +101,8 @@ def _access_request_kind(req: Column, body: Column, json_method: Column):
     return method, url
 
 
-def _tls_request_kind(req: Column, body: Column, json_method: Column):
-    """R2, TLS request-log lines -> (method, url)."""
-    lower = F.lower(req)
-    cmd = F.coalesce(*[F.when(lower.startswith(c), F.lit(c)) for c in TLS_COMMANDS])
+def _tls_request_kind(req: Column, body: Column, json_method: Column, cmd: Column):
+    """R2, TLS request-log lines -> (method, url); ``cmd`` is the command that the request begins with, or NULL."""
     w1 = F.regexp_extract(req, r"^([^ ]*)", 1)
     after = F.regexp_extract(req, r"^[^ ]* (.*)$", 1)
     url2 = F.regexp_extract(after, r"^(.*?)(?: +HTTP/\S*)?\s*$", 1)
@@ -152,7 +150,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.regexp_replace(req, r'\\"', '"').alias("_body"),
         F.regexp_extract(F.col("_after"), r"^(\S+)", 1).alias("_tok1"),
         F.regexp_extract(F.col("_after"), r"^\S+\s+(\S+)", 1).alias("_tok2"),
-    ).withColumn("_json_method", F.get_json_object(F.col("_body"), "$.method"))
+        # read off once: the tests of a request's kind look at it several times
+        F.when(F.col("log_type") == "ssl_request_log", F.nullif(F.regexp_extract(
+            F.lower(F.substring(req, 1, max(map(len, TLS_COMMANDS)))), "^(" + "|".join(TLS_COMMANDS) + ")", 1), F.lit(""))).alias("_cmd"),
+    ).withColumn("_json_method", F.when(F.col("_body").startswith("{"), F.get_json_object(F.col("_body"), "$.method")))
 
     has_quote = F.col("_has_quote")
     body = F.col("_body")
@@ -169,7 +170,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     is_ngx = lt == "nginx_error_log"
 
     a_method, a_url = _access_request_kind(req, body, json_method)
-    t_method, t_url = _tls_request_kind(req, body, json_method)
+    t_method, t_url = _tls_request_kind(req, body, json_method, F.col("_cmd"))
 
     after_bracket = F.regexp_extract(v, r"^\[[^\]]*\]\s+(\S+)", 1)
     tls_proto = F.regexp_extract(v, r"^\[[^\]]*\]\s+\S+\s+(\S+)", 1)
