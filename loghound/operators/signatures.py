@@ -114,22 +114,23 @@ def core_signature_hits(requests: DataFrame, rules: RuleSet | None = None) -> Da
     match = Matcher(rules)
     df = with_levels(requests)
     is_err = F.col("log_type").isin("error_log", "nginx_error_log")
-    df = df.withColumn("_t0", match.terms_in(F.col("_lo0")))
-    df = df.withColumn("_t1", F.when(F.col("_l1") == F.col("_l0"), F.col("_t0")).otherwise(match.terms_in(F.col("_lo1"))))
+    df = df.withColumn("_t0", match.terms_in("_lo0"))
+    same = F.col("_l1") == F.col("_l0")
+    df = df.withColumn("_t1", F.when(same, F.col("_t0")).otherwise(match.terms_in("_lo1")))
     for lvl in (0, 1):
         raw, terms = F.col(f"_l{lvl}"), F.col(f"_t{lvl}")
         guarded = is_err & _any_in(raw, GUARD_WORDS)
         page_only = _any_in(raw, PAGE_SUFFIXES) & ~_any_in(raw, PAGE_SQL_WORDS)
         none = F.array().cast("array<int>")
-        df = df.withColumns({
-            f"_page{lvl}": page_only, f"_open{lvl}": ~guarded}).withColumns({
-                f"_sql{lvl}": F.when(F.col(f"_open{lvl}"), F.get(
-                    match.hits("sql", terms, F.col(f"_page{lvl}"), PAGE_GUARDED), F.lit(0))),
-                f"_shell{lvl}": F.when(F.col(f"_open{lvl}"), F.transform(
-                    match.hits("shell", terms), lambda i: i + lvl * LEVEL_STEP)).otherwise(none),
-                f"_trv{lvl}": F.get(match.hits("traversal", terms), F.lit(0))})
+        df = df.withColumns({f"_page{lvl}": page_only, f"_open{lvl}": ~guarded})
+        found = {f"_sql{lvl}": F.when(F.col(f"_open{lvl}"), F.get(
+                     match.hits("sql", terms, F.col(f"_page{lvl}"), PAGE_GUARDED), F.lit(0))),
+                 f"_shell{lvl}": F.when(F.col(f"_open{lvl}"), match.hits("shell", terms)).otherwise(none),
+                 f"_trv{lvl}": F.get(match.hits("traversal", terms), F.lit(0))}
+        # a text that decoding left as it was has the hits of the raw level
+        df = df.withColumns({n: F.when(same, F.col(f"{n[:-1]}0")).otherwise(c) for n, c in found.items()} if lvl else found)
     high = F.expr(f"cast(array({', '.join(str(i) for i, s in enumerate(rules.shell) if s.high)}) as array<int>)")
-    hits = df.select("*", F.coalesce("_sql0", "_sql1").alias("sql_hit"), F.concat("_shell0", "_shell1").alias("shell_hits"),
+    hits = df.select("*", F.coalesce("_sql0", "_sql1").alias("sql_hit"), F.concat("_shell0", F.transform("_shell1", lambda i: i + LEVEL_STEP)).alias("shell_hits"),
                      F.coalesce("_trv0", "_trv1").alias("trv_hit"))
     hits = hits.withColumn("shell_high", F.size(F.filter("shell_hits", lambda h: F.array_contains(high, h % LEVEL_STEP))))
     return hits.select(*[c for c in hits.columns if c in requests.columns or not c.startswith("_")])
