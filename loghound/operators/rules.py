@@ -107,11 +107,11 @@ class Matcher:
     def terms_in(self, column: str) -> Column:
         """Numbers of the terms that the text of a column contains."""
         if len(self.terms) > MAX_TESTS:
-            # the column is named twice, else its expression moves into the lambda and is evaluated for every term
+            # the column stands outside the lambda too, else its expression moves into it and is evaluated for every term
             table = F.expr("cast(array(" + ", ".join(
                 f"named_struct('i', {i}, 't', {sql_text(t)})" for i, t in enumerate(self.terms)) + ") as array<struct<i:int,t:string>>)")
             found = F.filter(table, lambda t: F.col(column).contains(t["t"]))
-            return F.when(F.col(column).isNotNull(), F.transform(found, lambda t: t["i"])).otherwise(F.array().cast("array<int>"))
+            return F.when(F.length(F.col(column)) > 0, F.transform(found, lambda t: t["i"])).otherwise(F.array().cast("array<int>"))
         groups: dict[str | None, list[str]] = {}
         for t in self.terms:
             groups.setdefault(next((m for m in t if m in RARE_MARKS), None), []).append(t)

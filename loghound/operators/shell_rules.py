@@ -76,11 +76,20 @@ def rule_index(message: Column) -> Column:
     return F.coalesce(*terms, F.lit(len(SHELL_ERROR_RULES)))
 
 
+def error_rules(requests: DataFrame) -> DataFrame:
+    """The error-log lines with the place of their rule: ip, ts_s, ord, rule."""
+    return requests.filter(F.col("log_type").isin("error_log", "nginx_error_log")).select(
+        "ip", "ts_s", "ord", rule_index(F.coalesce(F.col("message"), F.lit(""))).alias("rule"))
+
+
 def shell_error_detections(requests: DataFrame) -> DataFrame:
     """D19 + W11: one detection per error-log line (access-control violations
     only from the 10th per client on, with the running count)."""
-    err = requests.filter(F.col("log_type").isin("error_log", "nginx_error_log")).select(
-        "ip", "ts_s", "ord", rule_index(F.coalesce(F.col("message"), F.lit(""))).alias("rule"))
+    return error_detections(error_rules(requests))
+
+
+def error_detections(err: DataFrame) -> DataFrame:
+    """D19 + W11 from the lines of :func:`error_rules`."""
     levels = F.array(*[F.lit(r[0]) for r in SHELL_ERROR_RULES], F.lit(LOW_REASON[0]))
     reasons = F.array(*[F.lit(r[1]) for r in SHELL_ERROR_RULES], F.lit(LOW_REASON[1]))
     idx = F.col("rule") + 1

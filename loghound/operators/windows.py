@@ -56,7 +56,9 @@ BUCKET_SECONDS = 3600
 
 
 def order_key() -> Column:
-    return F.struct(F.coalesce(F.col("ts_s"), F.lit(0)).alias("t"), F.col("ord").alias("o"))
+    """``(ts_s, ord)`` as one number of the same order, a missing ``ord`` first: its least is a hash aggregate."""
+    return F.expr("cast(coalesce(ts_s, 0) as decimal(17,0)) * cast(100000000000000000000 as decimal(21,0))"
+                  " + coalesce(cast(ord as decimal(19,0)), cast(-9223372036854775809 as decimal(19,0)))").cast("decimal(38,0)")
 
 
 def packed_order(sub: bool = False) -> Column:

@@ -17,7 +17,7 @@ from .materialize import materialize
 def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .queries import parsed
     # several queries read the list: it is written once, like the list of profile core
-    return materialize(merge.shell_detections(requests_only(parsed(spark, sf_dir))), "shell-detections")
+    return materialize(merge.shell_detections(requests_only(parsed(spark, sf_dir)), keep=materialize), "shell-detections")
 
 
 def _big(*names):
