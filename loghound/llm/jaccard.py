@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loghound.llm.common import components, empty_if_null, prepare, stage, table
+from loghound.llm.common import components, discard, empty_if_null, prepare, stage, table
 from loghound.llm.hashing import Rolling, byte_values, mix, powers
 
 #: Words of a shingle, and the similarity from which two sets link, in percent.
@@ -21,12 +23,21 @@ PERCENT = 90
 BAND = 1.3
 SPARE_PARTS = 4
 SPARE_SMALL = 24
+#: Chance that a pair at the similarity limit shares no more keys than each of its sets may leave out, and
+#: the number of parts up to which that chance is added up exactly, beyond it bounded.
+MISS = 1e-9
+EXACT_PARTS = 500
+#: Passes over the keys: only the keys of one pass are in the shuffle at a time.
+KEY_PASSES = 2
 #: Tokens of one block of similar sets, and sets whose token union is one row of the matrix.
 BLOCK_TOKENS = 800_000
 GROUP_ROWS = 32
 #: The same for the lower similarity of the pipeline, whose groups are larger: each block of a group is sent
 #: once for every other one, so larger blocks send less; a task holds two of them (about 350 MB at its peak).
 KEEP_BLOCK_TOKENS = 2_000_000
+#: Further parts at that similarity (at most four for each token that may differ): more shared keys, of which
+#: more may be left out; at 0.9 the parts above suffice.
+KEEP_PARTS = 30
 #: Bytes that are tokenised at once in a worker.
 BLOCK_BYTES = 1_500_000
 
@@ -84,14 +95,70 @@ def bands(most: int = 2 ** 31) -> list[int]:
     return low
 
 
-def signatures(tokens: np.ndarray, low: list[int], percent: int = PERCENT) -> np.ndarray:
+def _hit(balls: int, bins: int, parts: int) -> np.ndarray:
+    """Chances that 0, 1, ... of the first ``bins`` of ``parts`` parts get one of ``balls`` tokens at least."""
+    chance = np.zeros(bins + 1)
+    chance[0] = 1
+    more = (bins - np.arange(bins + 1)) / parts
+    for _ in range(balls):
+        moved = chance * more
+        chance -= moved
+        chance[1:] += moved[:-1]
+    return chance
+
+
+def sure_keys(differ: int, common: int, parts: int) -> int:
+    """Most keys m so that sets with so many tokens apart and in common share more than m, but for MISS.
+
+    They share the key of a part that gets a common token and none in which they differ.  The number
+    of parts left free is bounded below first, then the number of those that get a common token.
+    For many parts the exact sums are replaced by Chernoff's bound, which holds as the parts
+    are negatively associated.
+    """
+    if parts <= EXACT_PARTS:
+        free = int(np.searchsorted(np.cumsum(_hit(differ, parts, parts)[::-1]), MISS / 2, side="right"))
+        return max(0, int(np.searchsorted(np.cumsum(_hit(common, free, parts)), MISS / 2, side="right")) - 1)
+    share = (1 - 1 / parts) ** differ * (1 - (1 - 1 / parts) ** common)
+    low, high = 0, int(share * parts)
+    while low < high:
+        mid = (low + high + 1) // 2
+        x = mid / parts
+        if parts * (x * math.log(x / share) + (1 - x) * math.log((1 - x) / (1 - share))) >= -math.log(MISS):
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+@lru_cache(None)
+def band_parts(percent: int = PERCENT, further: int = 0) -> list[tuple[int, int]]:
+    """For each band its number of parts, and how many of its shared keys a set may leave out.
+
+    A pair that differs in d tokens has at least ``d * percent / (100 - percent)`` in common, and never
+    less than that share of the smallest larger set.  The chance of a shared part first grows
+    and then falls with d along that bound, so that its two ends are looked at.
+    """
+    low, out = bands(), []
+    for least, beyond in zip(low, low[1:]):
+        differ = 2 * (beyond - 1) * (100 - percent) // (100 + percent)
+        if not differ:
+            out.append((1, 0))
+            continue
+        parts = differ + 1 + SPARE_PARTS + SPARE_SMALL // differ + min(4 * differ, further)
+        common = -(-percent * least // 100)
+        out.append((parts, min(sure_keys(d, max(common, -(-d * percent // (100 - percent))), parts)
+                               for d in (differ, min(differ, common * (100 - percent) // percent)))))
+    return out
+
+
+def signatures(tokens: np.ndarray, low: list[int], plan: list[tuple[int, int]], percent: int = PERCENT) -> np.ndarray:
     """Keys of which two linked sets share one.
 
     Sets of sizes a <= b link only if they differ in at most
     ``(a + b) * (100 - percent) / (100 + percent)`` tokens.  The hash range is
     cut into more parts than that for the largest size of a band, so that a
     linked pair agrees in whole parts; the key of a part is the hash of its
-    tokens.  A set is keyed for its own band and, where a larger partner can
+    tokens, its last bit that of the band.  A set is keyed for its own band and, where a larger partner can
     be in the next one, for that too.  Empty parts give no key; the
     spare parts keep the chance that a linked pair agrees in empty parts only
     at a few in a million for the smallest sets and far below for others.
@@ -104,13 +171,13 @@ def signatures(tokens: np.ndarray, low: list[int], percent: int = PERCENT) -> np
     np.cumsum(mix(tokens + np.uint64(0x51ED270B)), out=sums[1:])
     keys = []
     for band in (j, j + 1) if 100 * n >= percent * low[j + 1] else (j,):
-        differ = 2 * (low[band + 1] - 1) * (100 - percent) // (100 + percent)
-        parts = differ + 1 + SPARE_PARTS + SPARE_SMALL // differ if differ else 1
+        parts = plan[band][0]
         part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
         full = np.nonzero(cut[1:] > cut[:-1])[0]
         value = sums[cut[full + 1]] - sums[cut[full]]
-        keys.append(mix(value ^ mix(np.uint64(band << 32) + full.astype(np.uint64))))
+        key = mix(value ^ mix(np.uint64(band << 32) + full.astype(np.uint64)))
+        keys.append(key & ~np.uint64(1) | np.uint64(band & 1))
     return np.concatenate(keys).view(np.int64)
 
 
@@ -180,16 +247,49 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray | None = None, percent
     return links
 
 
+def ties(keys: list[DataFrame], drops: DataFrame) -> DataFrame:
+    """Pairs (doc_id, first) whose components hold every linked pair.
+
+    ``keys``: tables (doc_id, key), each with all rows of its keys; ``drops``:
+    (doc_id, even, odd), how many keys of even and odd bands a document may leave out.
+    It leaves out those that most documents have.  A linked pair shares more
+    keys than that, so both keep the rarest one they share: keys are ranked
+    alike for all.  So lines that many documents hold tie only those that are
+    made of little else.  Each document is tied to the smallest id that keeps
+    the same key, never to all others.
+    """
+    hits = []
+    for some in keys:
+        # written, so that the first shuffle of the keys is gone before the second
+        shared = stage(some.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+        # both sides grow with the input: one plan at every size
+        hits.append(stage(some.join(shared.hint("merge"), "key").select("doc_id", "key", "rows")))
+        discard(shared)
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
+    drop = drops.groupBy("doc_id").agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
+    is_odd = F.col("key").bitwiseAND(F.lit(1).cast("long"))
+    commonest = Window.partitionBy("doc_id", "side").orderBy(F.desc("rows"), "key")
+    kept = stage(found.withColumn("side", is_odd).join(drop, "doc_id").withColumn("rank", F.row_number().over(commonest))
+                 .where(F.col("rank") > F.when(F.col("side") == 1, F.col("odd")).otherwise(F.col("even")))
+                 .select("doc_id", "key"))
+    discard(*hits)
+    first = kept.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    out = stage(kept.join(first.hint("merge"), "key").where("doc_id <> first").select("doc_id", "first").distinct())
+    discard(kept)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
-                    block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+                    block_tokens: int = BLOCK_TOKENS, further: int = 0) -> DataFrame:
     """Connected components of documents whose shingle sets are similar.
 
     1. One pass over the texts keeps the set size, a hash of the set and its
        part signatures.  Equal sets are one class.
-    2. Documents that share a signature may link; each is tied to the smallest
-       id with that signature (a minimum per signature, summed before the
-       shuffle), never to all others.  The components of these ties partition
-       the documents into groups of similar ones that no link leaves.
+    2. Documents that share a signature may link; see :func:`ties`.  The
+       components of these ties partition the documents into groups of similar
+       ones that no link leaves.
     3. For groups with several classes the texts of one document per class
        are read again.  A group beyond ``block_tokens`` tokens is cut by set
        size, each part is dealt to blocks of about ``block_tokens``; every
@@ -204,28 +304,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable).
     """
-    low = bands()
+    low, plan = bands(), band_parts(percent, further)
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = shingle_sets([t.encode() for t in pdf["text"]], words)
             whole = [int(np.bitwise_xor.reduce(mix(s * np.uint64(7)), initial=np.uint64(0))) - 2 ** 63 for s in sets]
             total = [int(mix(s).sum(dtype=np.uint64)) - 2 ** 63 for s in sets]
+            own = [bisect_right(low, max(1, len(s))) - 1 for s in sets]
+            keys = [signatures(s, low, plan, percent) for s in sets]
+            turn = [(k >> 1) % KEY_PASSES for k in keys]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "h1": whole, "h2": total,
-                                "keys": [signatures(s, low, percent) for s in sets]})
+                                "even": [plan[j + j % 2][1] for j in own], "odd": [plan[j + 1 - j % 2][1] for j in own],
+                                **{f"keys{p}": [k[t == p] for k, t in zip(keys, turn)] for p in range(KEY_PASSES)}})
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_if_null(F.col("text")).alias("text"))
-    a = stage(d.mapInPandas(sets_of, "doc_id long, n long, h1 long, h2 long, keys array<long>"))
-    keyed = a.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
-    # written, so that the first shuffle of the keys is gone before the second
-    # (a count, mostly 1, packs better in the shuffle than a second id)
-    shared = stage(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-                   .where("rows > 1").select("key", "first"))
-    # both sides grow with the input: one plan at every size
-    ties = keyed.join(shared.hint("merge"), "key").where("doc_id <> first").select("doc_id", "first").distinct()
-    roots = components(ties, "doc_id", "first")
-
-    slim = a.select("doc_id", "n", "h1", "h2")
+    names = [f"keys{p}" for p in range(KEY_PASSES)]
+    a = stage(d.mapInPandas(sets_of, "doc_id long, n long, h1 long, h2 long, even int, odd int, "
+                            + ", ".join(f"{k} array<long>" for k in names)))
+    slim = stage(a.drop(*names))
+    keyed = a.where("doc_id is not null")
+    tied = ties([keyed.select("doc_id", F.explode(k).alias("key")) for k in names],
+                slim.where("doc_id is not null").select("doc_id", "even", "odd"))
+    discard(a)
+    roots = components(tied, "doc_id", "first")
+
+    slim = slim.select("doc_id", "n", "h1", "h2")
     members = stage(roots.join(slim.where("doc_id is not null"), roots["node"] == slim["doc_id"])
                     .select("doc_id", "root", "n", "h1", "h2"))
     classes = members.groupBy("root", "n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -288,7 +392,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     else:
         named = (keyed.join(odd, own == F.col("_id"), "left")
                  .withColumn("_key", F.when(F.col("_id").isNull(), own).otherwise(F.xxhash64(own, text))).drop("_id"))
-    groups = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), words, percent, KEEP_BLOCK_TOKENS).where(
+    groups = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), words, percent, KEEP_BLOCK_TOKENS, KEEP_PARTS).where(
         "doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = named.join(groups, F.col("_key") == F.col("_kept")).dropDuplicates(["_key"]).select(*docs.columns)
     return kept.unionByName(docs.where(own.isNull())).select(*docs.columns)
